@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,7 +95,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
         n, start, size = len(col), 0, 0
         if n == 0:
             continue
-        lengths = pa.compute.binary_length(col).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(col).to_numpy(zero_copy_only=False)
         for i in range(n):
             if size and size + lengths[i] > most:
                 yield batch.slice(start, i - start)
