@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, syncmers
+from . import chat, mixing, secrets, syncmers, warc
 from .common import table
 
 
@@ -22,7 +22,21 @@ def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.page_digests(warc.read_records(archives))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema)
+    return chat.conversation_digests(chat.format_conversations(chat.chain(rows.unionByName(probe))))
+
+
 QUERIES = {
+    "op1_warc_roundtrip": op1_warc_roundtrip,
+    "op7_chat_format": op7_chat_format,
     "op8_secret_scan": op8_secret_scan,
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
     "op3_mix_sources": op3_mix_sources,
