@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secrets, syncmers, warc
-from .common import table
+from . import chat, mixing, secrets, syncmers, toxicity, warc
+from .common import held_out, table
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.read_records(archives))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    # the text leaves the plan as soon as it is scored
+    return toxicity.score_documents(docs, model).select("doc_id", (held_out(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -36,6 +43,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
+    "op4_toxicity": op4_toxicity,
     "op7_chat_format": op7_chat_format,
     "op8_secret_scan": op8_secret_scan,
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
