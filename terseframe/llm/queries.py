@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secrets, syncmers, toxicity, warc
+from . import chat, mixing, pii, secrets, syncmers, toxicity, warc
 from .common import held_out, table
 
 
@@ -34,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", (held_out(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scrub(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -44,6 +48,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
     "op4_toxicity": op4_toxicity,
+    "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
     "op7_chat_format": op7_chat_format,
     "op8_secret_scan": op8_secret_scan,
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
