@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, secrets, syncmers, toxicity, warc
+from . import chat, decontam, mixing, pii, secrets, syncmers, toxicity, warc
 from .common import held_out, table
 
 
@@ -45,6 +45,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(chat.chain(rows.unionByName(probe))))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = decontam.build_index(table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), paths)
+
+
 QUERIES = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
     "op4_toxicity": op4_toxicity,
@@ -52,6 +57,7 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_secret_scan": op8_secret_scan,
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
+    "op10_decontamination": op10_decontamination,
     "op3_mix_sources": op3_mix_sources,
 }
 ORACLES: dict[str, str] = {}
