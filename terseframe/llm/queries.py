@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, pii, secrets, syncmers, toxicity, warc
+from . import chat, chosenpath, decontam, mixing, pii, secrets, syncmers, toxicity, warc
 from .common import held_out, table
 
 
@@ -34,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", (held_out(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.join_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scrub(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
     "op4_toxicity": op4_toxicity,
+    "op5_chosen_path_join": op5_chosen_path_join,
     "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
     "op7_chat_format": op7_chat_format,
     "op8_secret_scan": op8_secret_scan,
