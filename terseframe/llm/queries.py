@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chosenpath, decontam, mixing, pii, secrets, syncmers, toxicity, warc
+from . import chat, chosenpath, decontam, mixing, ngramlm, pii, secrets, syncmers, toxicity, warc
 from .common import held_out, table
 
 
@@ -27,6 +27,10 @@ def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.read_records(archives))
 
 
+def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.score_held_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -56,6 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
+    "op2_ngram_trie": op2_ngram_trie,
     "op4_toxicity": op4_toxicity,
     "op5_chosen_path_join": op5_chosen_path_join,
     "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
