@@ -284,9 +284,9 @@ def proposals(sets: DataFrame, n_runs: int) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, key) and distinct texts (key, rep, copies, class_id, links): the join's whole result.
+    """Documents (doc_id, key) and distinct texts (key, label, rep, copies, class_id, links): the join's whole result.
 
-    ``key`` is the text's MD5, ``rep`` the smallest doc_id of its copies, ``links`` the number of
+    ``key`` is the text's MD5, ``label`` the smallest key of its class, ``rep`` the smallest doc_id of its copies, ``links`` the number of
     documents with a different text that are at least LEAST alike.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -306,10 +306,22 @@ def similarity_classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFra
     labels = materialise(joined.withColumnRenamed("node", "key").join(links, "key"), "cp-labels")
     named = materialise(sets.select("key", "rep", "copies").join(labels, "key", "left").select("key", "rep", "copies", F.coalesce("label", "key").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "cp-named")
     names = materialise(named.groupBy("label").agg(F.min("rep").alias("class_id")), "cp-names")
-    return drawn.select("doc_id", "key"), materialise(named.join(names, "label").select("key", "rep", "copies", "class_id", "links"), "cp-texts")
+    return drawn.select("doc_id", "key"), materialise(named.join(names, "label").select("key", "label", "rep", "copies", "class_id", "links"), "cp-texts")
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) of every document; copies of one text are links of each other."""
     rows, texts = similarity_classes(docs)
     return rows.join(texts, "key").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one document of each class: the one with the smallest id, once."""
+    _, texts = similarity_classes(docs)
+    none = F.lit(-(1 << 63))
+    kept = texts.where(F.col("rep").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_key"), F.coalesce(F.col("rep"), none).alias("_id"))
+    # two texts of one id can both be the smallest of their class; the smaller digest stays
+    kept = kept.join(texts.groupBy("label").agg(F.min(F.when(F.col("rep").eqNullSafe(F.col("class_id")), F.col("key"))).alias("_key")).select("_key"), "_key")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    keyed = docs.withColumn("_key", F.unhex(F.md5(text))).withColumn("_id", F.coalesce(F.col("doc_id"), none))
+    return keyed.join(materialise(kept, "cp-kept"), ["_key", "_id"], "left_semi").dropDuplicates(["_key", "_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
