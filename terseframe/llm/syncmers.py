@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_slices
+from .common import text_slices
 from .textvec import _powers, mix
 
 K, S, M = 24, 8, 64
@@ -142,52 +141,56 @@ def _compare(texts: list[str], following: list[str]) -> list[list]:
     return cols
 
 
+def _ranges(docs: DataFrame, parts: int):
+    """Number of the id range a row is in, as a column: about equal ranges, found in two steps of about sqrt(parts) bounds."""
+    at = [i / parts for i in range(1, parts)]
+    cuts = docs.agg(F.percentile_approx("doc_id", at, 20 * parts)).first()[0] if at else None
+    cuts = sorted(set(cuts or []))
+    wide = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)] or [[]]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def below(bounds):
+        return F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
+
+    tops = F.array(*[F.lit(g[-1]) for g in groups[:-1]]).cast(f"array<{kind}>")
+    inner = F.array(*[F.array(*[F.lit(b) for b in g]).cast(f"array<{kind}>") for g in groups])
+    part = F.transform(F.array(below(tops)), lambda t: t * wide + below(F.get(inner, t)))[0]
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int")
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """For every document its fingerprint, that of its text with the last quarter from the next document, and likenesses.
 
-    Documents are ranged by id; a task walks its range in order. The last document of a range waits for
-    the first of the next: those two rows a range are joined afterwards.
+    Documents are cut into ranges of ids; a task walks a range in order. The first document of each range
+    is also sent to the range before it (the first of all to the last), so the texts are shuffled once and
+    nothing is kept between jobs. Ids are numbers.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", _ranges(docs, parts))
+    # one id a range, so the broadcast has at most as many rows as there are ranges
+    heads = texts.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id"))["doc_id"].alias("_head"))
+    heads = heads.withColumnRenamed("part", "_part")
+    firsts = texts.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("part") == F.col("_part"))).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
+    back = Window.orderBy("part")  # one row a range
+    ahead = firsts.select("doc_id", "text", F.coalesce(F.lag("part").over(back), F.max("part").over(Window.partitionBy())).alias("part"), F.lit(True).alias("ahead"))
+    rows = texts.withColumn("ahead", F.lit(False)).unionByName(ahead)
+    ranged = rows.repartitionById(parts, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, first, id_type = TaskContext.get().partitionId(), None, None, None
-
-        def made(ids, texts, following, role=None):
-            n = len(ids)
-            cols = _compare(texts, following) if role is None else [[None] * n for _ in OUT]
-            arrays = [pa.array(ids, id_type), *(pa.array(c, t) for c, (_, t) in zip(cols, OUT, strict=True))]
-            arrays += [pa.array([part] * n, pa.int32()), pa.array([role] * n, pa.string()), pa.array(texts if role else [None] * n, pa.string())]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *(c for c, _ in OUT), "part", "role", "text"])
-
+        held = None
         for piece in text_slices(batches, most=1 << 20):
             id_type = piece.schema.field(0).type
-            ids, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-            if held is None:
-                first = (ids[0], texts[0])
-            else:
-                ids, texts = [held[0], *ids], [held[1], *texts]
-            held = (ids[-1], texts[-1])
-            if len(ids) > 1:
-                yield made(ids[:-1], texts[:-1], texts[1:])
-        if held is not None:
-            yield made([first[0]], [first[1]], None, "first")
-            yield made([held[0]], [held[1]], None, "last")
+            ids, texts, range_of, after = (piece.column(i).to_pylist() for i in range(4))
+            if held is not None:
+                ids, texts, range_of, after = [held[0], *ids], [held[1], *texts], [held[2], *range_of], [held[3], *after]
+            held = (ids[-1], texts[-1], range_of[-1], after[-1])
+            own = [i for i in range(len(ids) - 1) if not after[i]]
+            if own:
+                cols = _compare([texts[i] for i in own], [texts[i + 1] for i in own])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], id_type), *(pa.array(c, t) for c, (_, t) in zip(cols, OUT, strict=True))], names=["doc_id", *(c for c, _ in OUT)])
 
     columns = ", ".join(f"{c} {'long' if t == pa.int64() else 'double' if t == pa.float64() else 'string'}" for c, t in OUT)
-    table = materialise(ranged.mapInArrow(walk, f"doc_id {kind.simpleString()}, {columns}, part int, role string, text string"), "syncmer-ranges")
-    done = table.where("role is null").select("doc_id", *(c for c, _ in OUT))
-    order = Window.orderBy("part")  # one row a range
-    firsts = table.where("role = 'first'").select("part", F.col("text").alias("_first"))
-    after = firsts.select("part", F.coalesce(F.lead("_first").over(order), F.first("_first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("following"))
-    ends = table.where("role = 'last'").select("part", "doc_id", "text").join(after, "part").select("doc_id", "text", "following")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_slices(batches, most=1 << 20):
-            cols = _compare(piece.column(1).to_pylist(), piece.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, t) for c, (_, t) in zip(cols, OUT, strict=True))], names=["doc_id", *(c for c, _ in OUT)])
-
-    return done.unionByName(ends.mapInArrow(close, f"doc_id {kind.simpleString()}, {columns}"))
+    return ranged.mapInArrow(walk, f"doc_id {kind.simpleString()}, {columns}")
