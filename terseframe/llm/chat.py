@@ -71,27 +71,30 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     nodes = nodes.groupBy("_t", "msg").agg(F.min("parent").alias("parent"), F.max("score").alias("score"))
     known = nodes.select("_t", F.col("msg").alias("parent"), F.lit(True).alias("_in"))
     state = nodes.join(known, ["_t", "parent"], "left").select("_t", "msg", F.when(F.col("_in"), F.col("parent")).alias("up"), F.when(F.col("_in"), 1).otherwise(0).cast("long").alias("depth"), "score")
-    jumps, live = [], -1
+    jumps, live, ended = [], -1, None
     while True:
         state = materialise(state, "chat-jumps")
-        jumps.append(state.where("up is not null").select("_t", "msg", "up"))
-        left = jumps[-1].count()
+        open_, done = state.where("up is not null"), state.where("up is null")
+        ended = done if ended is None else ended.unionByName(done)
+        jumps.append(open_.select("_t", "msg", "up"))
+        left = open_.count()
         # a message at some depth has ancestors at every smaller one, so a doubling that ends no pointer leaves cycles alone
         if left in (0, live):
             break
         live = left
-        above = state.select("_t", F.col("msg").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("score").alias("_score"))
-        state = state.join(above, ["_t", "up"], "left").select(
+        above = ended.unionByName(open_).select("_t", F.col("msg").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("score").alias("_score"))
+        # only pointers that have not reached a root are joined again
+        state = open_.join(above, ["_t", "up"], "left").select(
             "_t", "msg", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score")
         )
     parents = nodes.where("parent is not null and parent <> msg").select("_t", F.col("parent").alias("msg")).distinct()
-    leaves = state.where("up is null").join(parents, ["_t", "msg"], "left_anti")
+    leaves = ended.join(parents, ["_t", "msg"], "left_anti")
     best = Window.partitionBy("_t").orderBy(F.desc("score"), F.desc("depth"), "msg")
     leaves = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
     paths = leaves.select("_t", F.col("msg").alias("leaf"), "rank", "msg")
     for jump in reversed(jumps[:-1]):
         paths = materialise(paths.unionByName(paths.join(jump, ["_t", "msg"]).select("_t", "leaf", "rank", F.col("up").alias("msg"))), "chat-paths")
-    return paths.join(state.select("_t", "msg", "depth"), ["_t", "msg"])
+    return paths.join(ended.select("_t", "msg", "depth"), ["_t", "msg"])
 
 
 def format_conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
