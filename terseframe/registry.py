@@ -1,10 +1,5 @@
 """Every registered query of the library, and its SQL where SQL can say it."""
 
-from __future__ import annotations
+from .plans.catalog import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
