@@ -14,7 +14,7 @@ from ..functions.text import content_hash
 def hourly(metrics: DataFrame, late: str = "2 hours") -> DataFrame:
     """Requests and savings by component and hour; on a stream, rows later than ``late`` are past their window."""
     if metrics.isStreaming:
-        metrics = metrics.withWatermark("ts", late)
+        metrics = metrics.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     out = metrics.groupBy("component_id", F.window("ts", "1 hour").alias("w")).agg(
         F.count("*").alias("requests"), F.sum("raw_tokens").alias("raw_tokens"), F.sum(F.col("raw_tokens") - F.col("compressed_tokens")).alias("saved_tokens")
     )
