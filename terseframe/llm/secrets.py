@@ -2,7 +2,8 @@
 
 Two bigram models over 66 character classes are trained on labelled samples from the whole table: the
 values of the fixed patterns (random strings, with seeded random ones beside them for tables that have
-few) and the ordinary words and identifiers of 3 to 19 characters. A run of 20 characters or more from
+few) and the ordinary words of 3 to 19 characters, with seeded
+identifiers. A run of 20 characters or more from
 the alphabet of keys is a secret if its log-likelihood ratio exceeds :data:`LEAST_RATIO`.
 
 Base spans: leftmost non-overlapping matches of each kind, those failing the kind's minimal length
@@ -114,6 +115,21 @@ def _seeded() -> np.ndarray:
     return out
 
 
+#: Words that seeded ordinary identifiers are made of.
+WORDS = "get set user name from data base file path index count total value list item next last first max min key map node tree page text line row table column start end time date year code test config option default current previous request response server client error message result size offset length buffer".split()
+
+
+def _ordinary() -> np.ndarray:
+    """Ordinary identifiers in the usual styles, so that long ones are not judged by prose alone."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    out = np.zeros(N * N, np.int64)
+    for k in range(1200):
+        w = [WORDS[i] for i in rng.integers(0, len(WORDS), rng.integers(2, 6))]
+        styles = ("_".join(w), "-".join(w), "/".join(w), "_".join(w).upper(), w[0] + "".join(x.title() for x in w[1:]), "".join(x.title() for x in w), "".join(w) + str(rng.integers(0, 100)))
+        out += _bigrams(styles[k % len(styles)].encode())
+    return out
+
+
 def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each pair of classes, random over ordinary; all that reaches the driver is N * N sums."""
     rows = (
@@ -123,14 +139,15 @@ def train(docs: DataFrame) -> np.ndarray:
         .agg(F.sum("n_random").alias("n_random"), F.sum("n_plain").alias("n_plain"))
         .collect()
     )
-    random_, plain = _seeded().astype(float), np.zeros(N * N)
+    random_, plain = _seeded().astype(float), _ordinary().astype(float)
     for r in rows:
         random_[r["pair"]] += r["n_random"]
         plain[r["pair"]] += r["n_plain"]
 
     def log(counts: np.ndarray) -> np.ndarray:
-        m = counts.reshape(N, N) + 0.5
-        return np.log(m / m.sum(1, keepdims=True))
+        m = counts.reshape(N, N)
+        single = (m.sum(0) + 0.5) / (m.sum() + 0.5 * N)  # rare pairs fall back to single characters
+        return np.log((m + 4 * single) / (m.sum(1, keepdims=True) + 4))
 
     return (log(random_) - log(plain)).reshape(-1)
 
