@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, text_slices
-from .textvec import LOWER, SPACE, _powers, column_bytes, mix, span_hashes, words
+from .textvec import LOWER, SPACE, _powers, column_bytes, span_hashes, words
 from .textvec import _BYTE_LOWER as BYTE
 
 _U = np.uint64
 SAMPLE = 20_000
 FEATURES = 2_000
 LEAST_DOCS = 3
+#: Of some million features tested, so few chance ones pass this log-likelihood ratio that they carry no weight together.
+LEAST_GAIN = 8
 BITS = 22
 PIECE = 5
 SHARDS = 16
@@ -47,11 +49,10 @@ SUBSTITUTE, REPEAT, DROP = 1.0, 0.5, 0.3
 EDGE, OTHER, CLASSES = 0, 27, 28
 
 _LETTER = r"[^\W\d_]"
-_SIGN = r"[0134567890@$!|+*€(]"
-DISGUISED = re.compile(
-    rf"(?<!\w)(?:{_LETTER}[ .\-_*]){{2,}}{_LETTER}(?!\w)"  # s t u p i d
-    rf"|(?:{_LETTER}|{_SIGN})*(?:{_LETTER}{_SIGN}+|{_SIGN}+{_LETTER}|({_LETTER})\1\1)(?:{_LETTER}|{_SIGN})*"  # 1d10t, stuuupid
-)
+SPACED = re.compile(rf"(?<!\w)(?:{_LETTER}[ .\-_*]){{2,}}{_LETTER}(?!\w)")  # s t u p i d
+BREAKS = frozenset(" \t\n\r\x0b\x0c.,;:_-/\\\"'?)=<>{}[]&%#~^`")
+RUN = re.compile("[^" + re.escape("".join(sorted(BREAKS))) + "]+")  # letters, digits and signs in a row
+MIXED = re.compile(rf"{_LETTER}[0134567890@$!|+*€(]|[0134567890@$!|+*€(]{_LETTER}|({_LETTER})\1\1")  # 1d10t, stuuupid
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
 _IS_SIGN = np.zeros(256, bool)
@@ -90,31 +91,29 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
     return -np.log(smooth)
 
 
-def decode(seen: str, cost: np.ndarray) -> str:
+def decode(seen: str, cost: list[list[list[float]]]) -> str:
     """The likeliest plain text behind a disguised stretch: exact Viterbi over pairs of classes."""
     text = seen.lower()
     if len(text) != len(seen):
         text = seen
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
-    for i, c in enumerate(text):
+    before = ""
+    for c in text:
+        options = [(0.0, c, _class(c))]
+        options += [(SUBSTITUTE, x, _class(x)) for x in SIGNS.get(c, "")]
+        drop = DROP if c in SEPARATORS else REPEAT if c == before else None
+        before = c
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        options: list[tuple[float, str]] = [(0.0, c)]
-        options += [(SUBSTITUTE, x) for x in SIGNS.get(c, "")]
-        if c in SEPARATORS:
-            options.append((DROP, ""))
-        elif i and c == text[i - 1]:
-            options.append((REPEAT, ""))
         for (a, b), (so_far, path) in best.items():
-            for extra, out in options:
-                if out:
-                    k = _class(out)
-                    state, total, way = (b, k), so_far + extra + cost[a, b, k], (path, out)
-                else:
-                    state, total, way = (a, b), so_far + extra, path
+            row = cost[a][b]
+            for extra, out, k in options:
+                total, state = so_far + extra + row[k], (b, k)
                 if state not in after or total < after[state][0]:
-                    after[state] = (total, way)
+                    after[state] = (total, (path, out))
+            if drop is not None and ((a, b) not in after or so_far + drop < after[a, b][0]):
+                after[a, b] = (so_far + drop, path)
         best = after
-    total, path = min(((t + cost[a, b, EDGE], p) for (a, b), (t, p) in best.items()), key=lambda x: x[0])
+    path = min((t + cost[a][b][EDGE], n, p) for n, ((a, b), (t, p)) in enumerate(best.items()))[2]
     out = []
     while path is not None:
         path, c = path
@@ -122,31 +121,32 @@ def decode(seen: str, cost: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-def suspects(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows that may hold a disguised stretch."""
+def suspects(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that may hold mixed or repeated signs, and rows that may hold spaced letters."""
+    none = np.zeros(0, np.int64)
     if len(raw) < 3:
-        return np.zeros(0, np.int64)
+        return none, none
     letter, sign, low = _IS_LETTER[raw], _IS_SIGN[raw], LOWER[raw]
-    mixed = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
-    triple = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    two_byte = np.zeros(0, bool)
-    if len(raw) >= 6:
-        two_byte = (raw[5:] >= 0x80) & (raw[5:] == raw[3:-2]) & (raw[3:-2] == raw[1:-4]) & (raw[4:-1] == raw[2:-3]) & (raw[2:-3] == raw[:-5])
-    sep = _IS_SEP[raw]
-    # letter, separator, letter, separator, letter of one byte or two each
-    wide = raw >= 0xC0
-    start = np.flatnonzero(letter & ~((raw >= 0x80) & (raw < 0xC0)))
-    size = np.where(wide[start], 2, 1)
-    single = np.zeros(len(start), bool)
-    if len(start) > 2:
-        gap = start[1:] - start[:-1] == size[:-1] + 1
-        between = np.minimum(start[:-1] + size[:-1], len(raw) - 1)
-        gap &= sep[between]
-        single[:-2] = gap[:-1] & gap[1:]
-    at = np.concatenate([np.flatnonzero(mixed), np.flatnonzero(triple), np.flatnonzero(two_byte), start[single]])
-    euro = raw.tobytes().find("€".encode())
-    rows = np.unique(np.searchsorted(off, at, side="right") - 1)
-    return np.arange(len(off) - 1) if euro >= 0 else rows[(rows >= 0) & (rows < len(off) - 1)]
+    mixed = np.zeros(len(raw), bool)
+    mixed[1:] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+    mixed[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
+    if len(raw) >= 6:  # three equal letters of two bytes
+        mixed[5:] |= (raw[5:] >= 0x80) & (raw[5:] == raw[3:-2]) & (raw[3:-2] == raw[1:-4]) & (raw[4:-1] == raw[2:-3]) & (raw[2:-3] == raw[:-5])
+    rows = np.unique(np.searchsorted(off, np.flatnonzero(mixed), side="right") - 1)
+    if raw.tobytes().find("€".encode()) >= 0:
+        rows = np.arange(len(off) - 1)
+    # by characters, so that a letter of two bytes is one: a letter alone, a separator, a letter alone, a separator, a letter alone
+    lead = (raw < 0x80) | (raw >= 0xC0)
+    chars = raw[lead]
+    spaced = none
+    if len(chars) >= 5:
+        wide, sep = _IS_LETTER[chars], _IS_SEP[chars]
+        alone = wide & ~np.concatenate([[False], wide[:-1]]) & ~np.concatenate([wide[1:], [False]])
+        at = np.flatnonzero(alone[:-4] & sep[1:-3] & alone[2:-2] & sep[3:-1] & alone[4:])
+        if len(at):
+            begins = np.concatenate([[0], np.cumsum(np.add.reduceat(np.concatenate([lead, [False]]), off[:-1]) * (np.diff(off) > 0))])
+            spaced = np.unique(np.searchsorted(begins, at, side="right") - 1)
+    return rows, spaced
 
 
 class Restorer:
@@ -154,40 +154,68 @@ class Restorer:
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost
-        self.decoded = lru_cache(1 << 16)(lambda s: decode(s, cost))
+        table = cost.tolist()
+        self.decoded = lru_cache(1 << 16)(lambda s: decode(s, table))
 
     def __reduce__(self):
         return Restorer, (self.cost,)
 
-    def text(self, text: str) -> str:
-        return DISGUISED.sub(lambda m: self.decoded(m[0]), text)
+    def text(self, text: str, spaced: bool = True, mixed: bool = True) -> str:
+        if spaced:
+            text = SPACED.sub(lambda m: self.decoded(m[0]), text)
+        out, done = [], 0
+        for m in MIXED.finditer(text) if mixed or spaced else ():
+            if m.start() < done:
+                continue
+            start = m.start()
+            while start > done and text[start - 1] not in BREAKS:
+                start -= 1
+            end = RUN.match(text, start).end()
+            out += [text[done:start], self.decoded(text[start:end])]
+            done = end
+        return "".join(out) + text[done:]
 
     def column(self, col: pa.Array) -> pa.Array:
-        rows = suspects(*column_bytes(col)).tolist()
-        if not rows:
+        mixed, spaced = (set(x.tolist()) for x in suspects(*column_bytes(col)))
+        if not mixed and not spaced:
             return col
         texts = col.to_pylist()
-        for r in rows:
-            texts[r] = self.text(texts[r])
+        for r in mixed | spaced:
+            texts[r] = self.text(texts[r], r in spaced, r in mixed)
         return pa.array(texts, pa.string())
 
 
-def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, row) of every word and every piece of a word; features are hashed to 2 * 2**BITS numbers."""
+def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Feature and byte place of every word, and the same of every piece of a word; numbers are hashed to 2 * 2**BITS."""
     starts, ends = words(raw, off)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    most = _U((1 << BITS) - 1)
-    whole = (span_hashes(raw, starts, ends) & most).astype(np.int64) + (1 << BITS)
-    rows = np.searchsorted(off, starts, side="right") - 1
+    whole = (span_hashes(raw, starts, ends) >> _U(64 - BITS)).astype(np.int32) + np.int32(1 << BITS)
+    if len(raw) < PIECE:
+        return whole, starts, np.zeros(0, np.int32), np.zeros(0, np.int64)
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTE[raw] * down[: len(raw)], out=total[1:])
-    n = np.maximum(ends - starts - PIECE + 1, 0)
-    long = n > 0
-    first = np.repeat(starts[long] - np.concatenate([[0], np.cumsum(n[long])[:-1]]), n[long]) + np.arange(n.sum())
-    pieces = (mix((total[first + PIECE] - total[first]) * up[first]) & most).astype(np.int64)
-    return np.concatenate([whole, pieces]), np.concatenate([rows, np.repeat(rows, n)])
+    hashes = total[PIECE:] - total[:-PIECE]
+    hashes *= up[: len(hashes)]
+    hashes *= _U(0x9E3779B97F4A7C15)
+    hashes >>= _U(64 - BITS)
+    # a piece lies in one word and one row
+    broken = SPACE[raw]
+    ok = ~broken[: len(hashes)]
+    for k in range(1, PIECE):
+        ok &= ~broken[k : len(hashes) + k]
+    for cut in off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(raw))].tolist():
+        ok[max(0, cut - PIECE + 1) : cut] = False
+    return whole, starts, hashes.astype(np.int32), ok
+
+
+def present_features(raw: np.ndarray, off: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct row * n + number of the chosen features that a column's rows have."""
+    whole, starts, pieces, ok = features(raw, off)
+    w, p = table[whole], table[pieces]
+    at_w = np.flatnonzero(w >= 0)
+    at_p = np.flatnonzero((p >= 0) & ok) if len(p) else np.zeros(0, np.int64)
+    rows = np.searchsorted(off, np.concatenate([starts[at_w], at_p]), side="right") - 1
+    return np.unique(rows * n + np.concatenate([w[at_w], p[at_p]]))
 
 
 @dataclass
@@ -202,11 +230,7 @@ class Model:
         raw, off = column_bytes(col)
         total = np.full(len(col), self.bias)
         if len(self.chosen) and len(raw):
-            table = self.table()
-            f, r = features(raw, off)
-            which = table[f]
-            hit = which >= 0
-            pair = np.unique(r[hit] * len(self.chosen) + which[hit])
+            pair = present_features(raw, off, self.table(), len(self.chosen))
             total += np.bincount(pair // len(self.chosen), self.weight[pair % len(self.chosen)], minlength=len(col))
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
@@ -229,16 +253,18 @@ def _gain(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return h(k1, n1) + h(k0, n0) - h(k1 + k0, n1 + n0)
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression of sparse 0/1 features, by accelerated gradient steps."""
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 2e-5, steps: int = 500) -> tuple[np.ndarray, float]:
+    """Logistic regression of sparse 0/1 features, by accelerated gradient steps with a bound of each feature's curvature."""
+    n = len(y)
     w, bias = np.zeros(n_features), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    per_row = np.bincount(rows, minlength=len(y)).max(initial=1) + 1
-    rate, v, vb = 4.0 / per_row, w.copy(), bias
+    size = np.bincount(rows, minlength=n) + 1.0
+    rate = 1 / (np.bincount(cols, size[rows], minlength=n_features) / (4 * n) + penalty)
+    bias_rate = 4 / size.mean()
+    v, vb = w.copy(), bias
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, v[cols], minlength=len(y)) + vb, -50, 50)))
-        g = p - y
-        nw = v - rate * len(y) / max(1, len(y)) * (np.bincount(cols, g[rows], minlength=n_features) / len(y) + penalty * v)
-        nb = vb - rate * g.mean()
+        g = 1 / (1 + np.exp(-np.clip(np.bincount(rows, v[cols], minlength=n) + vb, -50, 50))) - y
+        nw = v - rate * (np.bincount(cols, g[rows], minlength=n_features) / n + penalty * v)
+        nb = vb - bias_rate * g.mean()
         push = k / (k + 3)
         v, vb = nw + push * (nw - w), nb + push * (nb - bias)
         w, bias = nw, nb
@@ -267,8 +293,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         n = np.zeros((2, 2 << BITS), np.int32)
         for part in text_slices(batches):
             col, y = restorer.column(part.column(0)), part.column(1).to_numpy()
-            f, r = features(*column_bytes(col))
-            pair = np.unique(r * (2 << BITS) + f)
+            raw, off = column_bytes(col)
+            whole, starts, pieces, ok = features(raw, off)
+            at = np.flatnonzero(ok)
+            rows = np.searchsorted(off, np.concatenate([starts, at]), side="right") - 1
+            pair = np.unique(rows * (2 << BITS) + np.concatenate([whole, pieces[at]]))
             for label in (0, 1):
                 n[label] += np.bincount(pair[y[pair >> (BITS + 1)] == label] & ((2 << BITS) - 1), minlength=2 << BITS).astype(np.int32)
         at = np.flatnonzero(n.sum(0))
@@ -291,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for s, (k0, k1) in n.items():
             gain = np.where(k1 + k0 >= LEAST_DOCS, _gain(k1.astype(float), k0.astype(float), n1, n0), 0)
             top = np.argsort(-gain, kind="stable")[:FEATURES]
-            top = top[gain[top] > 4]
+            top = top[gain[top] > LEAST_GAIN]
             yield pa.RecordBatch.from_arrays([pa.array(top + s * ((2 << BITS) // SHARDS)), pa.array(gain[top])], names=["feature", "gain"])
 
     best = (
@@ -306,9 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shape.table()
         for part in text_slices(batches):
-            f, r = features(*column_bytes(restorer.column(part.column(0))))
-            which = table[f]
-            pair = np.unique(r[which >= 0] * len(chosen) + which[which >= 0])
+            pair = present_features(*column_bytes(restorer.column(part.column(0))), table, len(chosen))
             cut = np.searchsorted(pair // len(chosen), np.arange(part.num_rows + 1))
             has = [(pair[cut[i] : cut[i + 1]] % len(chosen)).astype(np.int16).tobytes() for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(has, pa.binary()), part.column(1)], names=["has", "toxic"])
