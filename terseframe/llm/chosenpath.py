@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_slices
+from .common import bounded_broadcast, materialise, text_slices
 from .components import connected_components
 from .textvec import column_bytes, mix, row_counts, shingles, span_hashes, words
 
@@ -43,6 +43,8 @@ DEPTH = 5
 PROPOSE, PIVOT, LEAVE = 0.62, 0.5, 0.75
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
+#: Up to so many pivots of large buckets (300 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_PIVOTS = 20_000
 _U = np.uint64
 _ODD = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, DIMS, dtype=np.uint64) * _U(2) + _U(1)
 _DIM = mix(np.arange(1, DIMS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -56,23 +58,24 @@ def runs(recall: float = RECALL, depth: int = 3) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def sketches(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """16 bits of each min-hash value, one row a set; rows without shingles are zeros."""
-    out = np.zeros((len(at) - 1, DIMS), np.uint16)
+def min_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 64-bit tokens of each set, one a dimension; rows without shingles are zeros."""
+    out = np.zeros((len(at) - 1, DIMS), np.uint64)
     rows = np.flatnonzero(np.diff(at))
     if len(rows):
-        with np.errstate(over="ignore"):
-            for d in range(DIMS):
-                least = np.minimum.reduceat(hashes * _ODD[d], at[rows])
-                out[rows, d] = (mix(least + _DIM[d]) & _U(0xFFFF)).astype(np.uint16)
+        for d in range(DIMS):
+            out[rows, d] = mix(np.minimum.reduceat(hashes * _ODD[d], at[rows]) + _DIM[d])
     return out
 
 
-def children(path: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child path) of every sampled token of each row's sketch in the bucket ``path``."""
+def children(path: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child path) of every sampled token of each row in the bucket ``path``.
+
+    The first split needs whole tokens, as any two sets of the table may meet there; below it, 16 bits
+    of each are enough to tell the sets of one bucket apart.
+    """
     with np.errstate(over="ignore"):
-        token = mix(sketch.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _DIM)
-        drawn = mix(token ^ path[:, None])
+        drawn = mix((token.astype(np.uint64) + _DIM) ^ path[:, None])
     row, dim = np.nonzero(drawn < _U(int(2**64 / (LEAST * DIMS))))
     return row, mix(drawn[row, dim] + _U(1))
 
@@ -219,43 +222,67 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in out], pa.binary()), pa.array(links[out], pa.int64()), pa.array([keys[label[i]] for i in out], pa.binary())], names=["key", "links", "label"])
 
 
-def _sketch_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches):
-        raw, off = column_bytes(part.column(2))
-        starts, ends = words(raw, off)
-        hashes, at = shingles(span_hashes(raw, starts, ends), row_counts(starts, off), WIDTH)
-        s = sketches(hashes, at)
-        n = pa.array(np.diff(at))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, pa.array([x.tobytes() for x in s], pa.binary())], names=["doc_id", "key", "n", "sketch"])
+def _sketch_column(n_runs: int):
+    """Sketches and first paths, those of all runs, of rows (doc_id, key, text)."""
+    start = mix(np.arange(1, n_runs + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            raw, off = column_bytes(part.column(2))
+            starts, ends = words(raw, off)
+            hashes, at = shingles(span_hashes(raw, starts, ends), row_counts(starts, off), WIDTH)
+            tokens = min_hashes(hashes, at)
+            found = [children(np.full(len(tokens), r), tokens) for r in start]
+            row = np.concatenate([r for r, _ in found])
+            order = np.argsort(row, kind="stable")
+            path = np.concatenate([p for _, p in found])[order].view(np.int64)
+            bounds = np.searchsorted(row[order], np.arange(len(tokens) + 1)).astype(np.int32)
+            paths = pa.ListArray.from_arrays(pa.array(bounds), pa.array(path))
+            sketch = (tokens & _U(0xFFFF)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at)), pa.array([x.tobytes() for x in sketch], pa.binary()), paths], names=["doc_id", "key", "n", "sketch", "paths"])
+
+    return run
+
+
+def _spanning(a: list[bytes], b: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """As few edges that connect what the edges (a, b) connect."""
+    up: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y] if y in up else y
+            x = up[x]
+        return x
+
+    out: tuple[list[bytes], list[bytes]] = ([], [])
+    for x, y in zip(a, b, strict=True):
+        p, q = top(x), top(y)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out[0].append(x)
+            out[1].append(y)
+    return out
 
-def proposals(sets: DataFrame, n_runs: int) -> DataFrame:
-    """Edges (a, b) between the keys of ``sets`` (key, sketch) that chosen paths bring together and sketches find alike."""
-    start = mix(np.arange(1, n_runs + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
-                s = _sketch_rows(part.column(1))
-                keys = part.column(0)
-                for r in start:
-                    row, path = children(np.full(len(s), r), s)
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), keys.take(pa.array(row))], names=["path", "key"])
+def proposals(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between the keys of ``sets`` (key, sketch, paths) that chosen paths bring together and sketches find alike."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ties to the pivot and the paths of what is split further, of rows (path, key, sketch, pivot, pivot_sketch)."""
         for b in batches:
+            if not b.num_rows:
+                continue
             s, p = _sketch_rows(b.column(2)), _sketch_rows(b.column(4))
             alike = (s == p).mean(1)
             tied = pa.array(np.flatnonzero(alike >= PIVOT))
+            ours, pivots = _spanning(b.column(1).take(tied).to_pylist(), b.column(3).take(tied).to_pylist())
             left = np.flatnonzero(alike < LEAVE)
             row, path = children(b.column(0).to_numpy()[left].view(np.uint64), s[left])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(tied), pa.int64()), b.column(1).take(tied), b.column(3).take(tied)], names=["path", "key", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(ours), pa.int64()), pa.array(ours, pa.binary()), pa.array(pivots, pa.binary())], names=["path", "key", "pivot"])
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column(1).take(pa.array(left[row])), pa.nulls(len(row), pa.binary())], names=["path", "key", "pivot"])
 
     edges, leaves = [], []
-    rows = materialise(sets.select("key", "sketch").mapInArrow(first, "path long, key binary"), "cp-paths")
+    rows = sets.select(F.explode("paths").alias("path"), "key")
     for level in range(1, DEPTH + 1):
         sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("pivot")).where("size > 1"), "cp-sizes")
         # the last level's buckets are compared whole, in blocks, whatever their size
@@ -265,9 +292,11 @@ def proposals(sets: DataFrame, n_runs: int) -> DataFrame:
         if large.limit(1).count() == 0:
             break
         pivots = materialise(large.join(sets.select(F.col("key").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot"), "cp-pivots")
-        inside = materialise(rows.join(large.select("path"), "path"), "cp-inside")
-        known = materialise(inside.join(sets.select("key", "sketch"), "key").select("path", "key", "sketch"), "cp-known")
-        met = known.join(pivots, "path").select("path", "key", "sketch", "pivot", "pivot_sketch")
+        # a set is in few buckets of a level, so its paths are one short row and its sketch travels once; rows
+        # of a set then stand together, and its ties to many pivots shrink to one and the ties among pivots
+        inside = rows.join(large.select("path"), "path").groupBy("key").agg(F.collect_list("path").alias("paths"))
+        known = materialise(inside.join(sets.select("key", "sketch"), "key"), "cp-known")
+        met = known.select("key", "sketch", F.explode("paths").alias("path")).join(bounded_broadcast(pivots, BROADCAST_PIVOTS), "path").select("path", "key", "sketch", "pivot", "pivot_sketch")
         out = materialise(met.mapInArrow(split, "path long, key binary, pivot binary"), "cp-split")
         edges.append(out.where("path is null and key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         rows = out.where("path is not null").select("path", "key")
@@ -292,9 +321,9 @@ def similarity_classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFra
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    drawn = materialise(keyed.mapInArrow(_sketch_column, f"doc_id {kind}, key binary, n long, sketch binary"), "cp-documents")
-    sets = materialise(drawn.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "cp-sets")
-    proposed = connected_components(proposals(sets.where("n > 0"), runs(recall)))
+    drawn = materialise(keyed.mapInArrow(_sketch_column(runs(recall)), f"doc_id {kind}, key binary, n long, sketch binary, paths array<bigint>"), "cp-documents")
+    sets = materialise(drawn.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "cp-sets")
+    proposed = connected_components(proposals(sets.where("n > 0")))
     members = materialise(proposed.select(F.col("node").alias("key"), F.col("label").alias("class")).join(sets.select("key", "rep", "copies", "n"), "key"), "cp-members")
     sizes = materialise(members.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")), "cp-classes")
     placed = materialise(members.join(sizes, "class"), "cp-placed")
