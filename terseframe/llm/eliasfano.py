@@ -40,18 +40,21 @@ def unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     return (low | high) & _U((1 << width) - 1)
 
 
+#: Place of the r-th set bit of a byte, at byte * 8 + r.
+_IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for b in range(256) for r in range(8)], np.uint64)
+_ONES, _HIGH = _U(0x0101010101010101), _U(0x8080808080808080)
+
+
 def select_in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Place of the r-th set bit (from 0) of each 64-bit word."""
-    place = np.zeros(len(x), np.uint64)
-    r = r.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = x & _U((1 << width) - 1)
-        c = np.bitwise_count(low).astype(np.int64)
-        up = r >= c
-        r = r - np.where(up, c, 0)
-        x = np.where(up, x >> _U(width), low)
-        place += np.where(up, _U(width), _U(0))
-    return place
+    r = r.astype(np.uint64)
+    n = x - ((x >> _U(1)) & _U(0x5555555555555555))
+    n = (n & _U(0x3333333333333333)) + ((n >> _U(2)) & _U(0x3333333333333333))
+    upto = ((n + (n >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES  # byte k: set bits of bytes 0 to k
+    enough = ((upto | _HIGH) - (r + _U(1)) * _ONES) & _HIGH
+    shift = (_U(8) - np.bitwise_count(enough)) * _U(8)
+    r = r - (((upto << _U(8)) >> shift) & _U(0xFF))
+    return shift + _IN_BYTE[(((x >> shift) & _U(0xFF)) * _U(8) + r).astype(np.int64)]
 
 
 class EliasFano:

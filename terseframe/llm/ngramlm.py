@@ -38,7 +38,7 @@ _U = np.uint64
 END = mix(np.array([0x5EED], np.uint64))[0]
 #: Tokens gathered by a task before it sorts them and sends them off.
 FLUSH = 1_500_000
-SLICE = 1 << 20
+SLICE, SCORED = 1 << 20, 3 << 20
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -299,6 +299,28 @@ class Model:
         v = self.vocabulary
         return (n + 0.5) / (v.total + 0.5 * (v.size + 1))
 
+    def gammas(self, context: np.ndarray, n: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """What each context of one word leaves to the level below; 1 for unknown contexts. Ascending contexts."""
+        out = np.ones(len(context))
+        new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        c, known = context[new], context[new] >= 0
+        value = np.ones(len(new))
+        k = np.minimum(np.searchsorted(self.shared_ids, c), max(len(self.shared_ids) - 1, 0))
+        is_shared = known & (self.shared_ids[k] == c) if len(self.shared_ids) else np.zeros(len(c), bool)
+        value[is_shared] = self.shared_gamma[k[is_shared]]
+        # a word that is no trie's first or last has all its pairs in one trie, that of the middle of its range
+        rest = np.flatnonzero(known & ~is_shared)
+        trie_of = _pair_shard(n[new][rest], before[new][rest], 0, self.vocabulary.total / 2, self.vocabulary.total, self.shards)
+        cut = np.searchsorted(trie_of, np.arange(self.shards + 1))
+        for s in range(self.shards):
+            at = rest[cut[s] : cut[s + 1]]
+            t = self.trie(s) if len(at) else None
+            if t is not None:
+                at = at[(c[at] >= t["low"]) & (c[at] <= t["high"])]
+                value[at] = _value(t["gamma2"][c[at] - t["low"]], t["gamma2_scale"])
+        out[:] = np.repeat(value, np.diff(np.concatenate([new, [len(context)]])))
+        return out
+
     def probabilities(self, ids: np.ndarray, n: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Probability of each token after the two before it; ``first`` marks the tokens that begin a text, after an end."""
         v = self.vocabulary
@@ -310,29 +332,28 @@ class Model:
         c_id, c_n, c_before = shift(ids, end_id), shift(n, end_n), shift(before, end_before)
         trie_of = _pair_shard(c_n, c_before, n, before, v.total, self.shards)
         trie_of[c_id < 0] = -1
-        # an unknown word has no place of its own, but its context's gamma is in any trie of that context
-        unknown = np.flatnonzero((ids < 0) & (c_id >= 0))
-        trie_of[unknown] = _pair_shard(c_n[unknown], c_before[unknown], 0, v.total / 2, v.total, self.shards)
-        distinct, back = np.unique(np.stack([trie_of, c_id, ids]), axis=1, return_inverse=True) if len(ids) < 64 else _unique_pairs(trie_of, c_id, ids, v.size)
-        place, alpha2, gamma2 = np.full(distinct.shape[1], -1, np.int64), np.zeros(distinct.shape[1]), np.ones(distinct.shape[1])
-        cut = np.searchsorted(distinct[0], np.arange(self.shards + 1))
+        # the number of a pair orders pairs as their tries are ordered; an unknown word comes first in its context
+        pair = np.where(c_id >= 0, c_id * (v.size + 1) + ids + 1, -1)
+        trie_of[ids < 0] = -1
+        key, back = np.unique(pair, return_inverse=True)
+        some_token = np.empty(len(key), np.int64)
+        some_token[back] = np.arange(len(pair))
+        known = (c_id >= 0) & (ids >= 0)
+        asked2 = np.flatnonzero(known[some_token])
+        context2, word2, trie2 = c_id[some_token[asked2]], ids[some_token[asked2]], trie_of[some_token[asked2]]
+        place, alpha2 = np.full(len(key), -1, np.int64), np.zeros(len(key))
+        cut = np.searchsorted(trie2, np.arange(self.shards + 1))
         for s in range(self.shards):
             a, b = cut[s], cut[s + 1]
             t = self.trie(s) if a < b else None
             if t is None:
                 continue
-            context, word = distinct[1, a:b], distinct[2, a:b]
-            inside = np.flatnonzero((context >= t["low"]) & (context <= t["high"]))
-            local = context[inside] - t["low"]
-            at, lo, hi = _child(t["words2"], t["pointers2"], local, word[inside])
+            inside = np.flatnonzero((context2[a:b] >= t["low"]) & (context2[a:b] <= t["high"])) + a
+            at, _, _ = _child(t["words2"], t["pointers2"], context2[inside] - t["low"], word2[inside])
             found = at >= 0
-            some = hi > lo
-            place[a + inside] = at
-            alpha2[a + inside[found]] = _value(t["alpha2"][at[found]], t["alpha2_scale"])
-            gamma2[a + inside[some]] = _value(t["gamma2"][local[some]], t["gamma2_scale"])
-        if len(self.shared_ids):
-            k = np.minimum(np.searchsorted(self.shared_ids, distinct[1]), len(self.shared_ids) - 1)
-            gamma2 = np.where(self.shared_ids[k] == distinct[1], self.shared_gamma[k], gamma2)
+            place[asked2[inside]] = at
+            alpha2[asked2[inside[found]]] = _value(t["alpha2"][at[found]], t["alpha2_scale"])
+        gamma2 = self.gammas(c_id[some_token], c_n[some_token], c_before[some_token])
         back = back.ravel()
         p2 = alpha2[back] + gamma2[back] * p1
         pair_place = place[back]
@@ -358,17 +379,6 @@ class Model:
         return np.minimum(p3, 1.0)
 
 
-def _unique_pairs(trie: np.ndarray, context: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (trie, context, word) in order, and each token's place among them. A pair has one trie, but for unknown words."""
-    order = np.lexsort((word, context, trie))
-    t, c, w = trie[order], context[order], word[order]
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
-    back = np.empty(len(order), np.int64)
-    back[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    return np.stack([t[first], c[first], w[first]]), back
-
-
 def train(docs: DataFrame) -> Model:
     """The model of all texts of ``docs`` (text); as many tries as shuffle partitions."""
     spark = docs.sparkSession
@@ -432,7 +442,7 @@ def train(docs: DataFrame) -> Model:
     for _, summary in made.values():
         for word, m in summary["ends"]:
             mass.setdefault(word, []).append(m)
-    split = sorted(w for w, m in mass.items() if len(m) > 1)
+    split = sorted(mass)  # every word that begins or ends a trie
     n = vocabulary.of_ids(np.array(split, np.int64))
     return Model(vocabulary, [made.get(s, ("",))[0] for s in range(shards)], shards, {w: sum(mass[w]) / int(k) for w, k in zip(split, n, strict=True)})
 
@@ -444,7 +454,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, ...SCORES) of (doc_id, held_out, text)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, most=SLICE):
+        for part in text_slices(batches, most=SCORED):
             place, ids, n, before, at = _numbered(part.column(2), model.vocabulary)
             first = np.zeros(len(place), bool)
             first[at[:-1]] = True
