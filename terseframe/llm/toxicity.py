@@ -253,18 +253,20 @@ def _gain(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return h(k1, n1) + h(k0, n0) - h(k1 + k0, n1 + n0)
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 2e-5, steps: int = 500) -> tuple[np.ndarray, float]:
-    """Logistic regression of sparse 0/1 features, by accelerated gradient steps with a bound of each feature's curvature."""
+def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, weight: np.ndarray, penalty: float = 2e-5, steps: int = 500) -> tuple[np.ndarray, float]:
+    """Logistic regression of sparse 0/1 features, by accelerated gradient steps with a bound of each feature's curvature; row i counts ``weight[i]`` times."""
     n = len(y)
-    w, bias = np.zeros(n_features), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    share = weight / weight.sum()
+    mean = float(share @ y)
+    w, bias = np.zeros(n_features), float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
     size = np.bincount(rows, minlength=n) + 1.0
-    rate = 1 / (np.bincount(cols, size[rows], minlength=n_features) / (4 * n) + penalty)
-    bias_rate = 4 / size.mean()
+    rate = 1 / (np.bincount(cols, (size * share)[rows], minlength=n_features) / 4 + penalty)
+    bias_rate = 4 / float(share @ size)
     v, vb = w.copy(), bias
     for k in range(steps):
-        g = 1 / (1 + np.exp(-np.clip(np.bincount(rows, v[cols], minlength=n) + vb, -50, 50))) - y
-        nw = v - rate * (np.bincount(cols, g[rows], minlength=n_features) / n + penalty * v)
-        nb = vb - bias_rate * g.mean()
+        g = share * (1 / (1 + np.exp(-np.clip(np.bincount(rows, v[cols], minlength=n) + vb, -50, 50))) - y)
+        nw = v - rate * (np.bincount(cols, g[rows], minlength=n_features) + penalty * v)
+        nb = vb - bias_rate * g.sum()
         push = k / (k + 3)
         v, vb = nw + push * (nw - w), nb + push * (nb - bias)
         w, bias = nw, nb
@@ -341,9 +343,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(has, pa.binary()), part.column(1)], names=["has", "toxic"])
 
     examples = labelled.mapInArrow(present, "has binary, toxic int").groupBy("has", "toxic").agg(F.count("*").alias("n")).orderBy("has", "toxic").collect()
-    cols = [np.frombuffer(e["has"], np.int16).astype(np.int64) for e in examples for _ in range(min(e["n"], 50))]
-    y = np.array([e["toxic"] for e in examples for _ in range(min(e["n"], 50))], float)
-    w, bias = fit(np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int64), y, len(chosen))
+    # one row a distinct (has, toxic), which counts as often as the sample has it
+    cols = [np.frombuffer(e["has"], np.int16).astype(np.int64) for e in examples]
+    y, n = (np.array([e[k] for e in examples], float) for k in ("toxic", "n"))
+    w, bias = fit(np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int64), y, len(chosen), n)
     return Model(restorer, chosen, w, bias)
 
 

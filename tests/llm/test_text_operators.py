@@ -226,6 +226,24 @@ def test_toxicity_edges(spark):
     assert toxicity.score_documents(no_docs(spark), toxicity.train(no_docs(spark), none)).count() == 0
 
 
+def test_toxicity_fits_all_rows_of_a_group(spark):
+    """Texts without a chosen feature score their share of toxic labels, however many they are."""
+    kinds = [i % 15 for i in range(600)]  # of 15: one toxic and plain, two toxic and marked, twelve clean and plain
+    docs = spark.createDataFrame([(i, "rain tea blorf" if k in (1, 2) else "rain tea") for i, k in enumerate(kinds)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(k < 3)) for i, k in enumerate(kinds)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, toxicity.train(docs, marks)).collect()}
+    plain = [k for i, k in enumerate(kinds) if k not in (1, 2) and zlib.crc32(str(i).encode()) % 5]
+    assert abs(got[0] - plain.count(0) / len(plain)) < 0.01 and got[1] > 0.9
+
+
+def test_weights_of_a_fit_stand_for_repeated_rows():
+    rng = np.random.default_rng(4)
+    has, y, n = rng.random((30, 6)) < 0.4, rng.integers(0, 2, 30).astype(float), rng.integers(1, 200, 30)
+    w, b = toxicity.fit(*np.nonzero(has), y, 6, n.astype(float))
+    v, c = toxicity.fit(*np.nonzero(np.repeat(has, n, axis=0)), np.repeat(y, n), 6, np.ones(n.sum()))
+    assert np.allclose(w, v, atol=1e-6) and abs(b - c) < 1e-6
+
+
 # 6: pseudonyms
 
 
