@@ -6,8 +6,8 @@ the bucket's path samples, with probability 1 / (LEAST * DIMS); so two sets of s
 sampled token on average. Small buckets are compared by brute force. In a large one every set is
 compared with a pivot: sets at least :data:`PIVOT` alike are tied to it, and those at least
 :data:`LEAVE` alike need not be split further, since by the triangle inequality of the Jaccard distance
-whatever is LEAST alike to them is tied to the pivot as well. Runs are repeated until the expected recall
-of a pair at the threshold is :data:`RECALL`.
+whatever is LEAST alike to them is tied to the pivot as well. There are as many runs as give a pair at the
+threshold the expected recall :data:`RECALL` after all :data:`DEPTH` splits.
 
 Sketches only propose: all texts of a proposed class are compared exactly, as shingle sets, in blocks
 of at most :data:`BLOCK` texts, whose pairs are dealt evenly over the tasks; a class of any size is
@@ -50,12 +50,26 @@ _ODD = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, DIMS, dtype=np
 _DIM = mix(np.arange(1, DIMS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-def runs(recall: float = RECALL, depth: int = 3) -> int:
-    """Runs until a pair at the threshold has met with probability ``recall``, when buckets are small after ``depth`` splits."""
-    meet = 1.0
-    for _ in range(depth):
-        meet = 1 - math.exp(-meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+def lost(n_runs: int, depth: int = DEPTH) -> float:
+    """Probability that a pair at the threshold meets in none of ``n_runs`` runs whose buckets are small after ``depth`` splits.
+
+    All runs draw from one pair of sketches, so it is a mean over the number of tokens that the two share.
+    """
+    total = 0.0
+    for same in range(DIMS + 1):
+        meet = 1.0
+        for _ in range(depth):
+            meet = 1 - (1 - meet / (LEAST * DIMS)) ** same
+        total += math.comb(DIMS, same) * LEAST**same * (1 - LEAST) ** (DIMS - same) * (1 - meet) ** n_runs
+    return total
+
+
+def runs(recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Least number of runs by which a pair at the threshold has met with probability ``recall``, whatever splits up to ``depth`` its buckets need."""
+    n = 1
+    while lost(n, depth) > 1 - recall:
+        n += 1
+    return n
 
 
 def min_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -321,7 +335,7 @@ def similarity_classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFra
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    drawn = materialise(keyed.mapInArrow(_sketch_column(runs(recall)), f"doc_id {kind}, key binary, n long, sketch binary, paths array<bigint>"), "cp-documents")
+    drawn = materialise(keyed.mapInArrow(_sketch_column(runs(recall, DEPTH)), f"doc_id {kind}, key binary, n long, sketch binary, paths array<bigint>"), "cp-documents")
     sets = materialise(drawn.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "cp-sets")
     proposed = connected_components(proposals(sets.where("n > 0")))
     members = materialise(proposed.select(F.col("node").alias("key"), F.col("label").alias("class")).join(sets.select("key", "rep", "copies", "n"), "key"), "cp-members")

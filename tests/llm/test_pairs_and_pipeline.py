@@ -106,6 +106,25 @@ def test_runs_meet_the_recall():
     assert met >= 0.97 * pairs
 
 
+def test_runs_suffice_for_all_splits():
+    assert chosenpath.lost(chosenpath.runs(0.999, chosenpath.DEPTH), chosenpath.DEPTH) <= 0.001 < chosenpath.lost(chosenpath.runs() - 1)
+
+
+def test_recall_where_buckets_split_to_the_last_level(spark, monkeypatch):
+    """Pairs of similarity 0.8 whose common shingles are common among all texts too, so that their buckets stay large."""
+    monkeypatch.setattr(chosenpath, "SMALL", 1)
+    rng = random.Random(3)
+    rows = []
+    for p in range(800):
+        shared = ["h0 h1 h2 h3"] + [" ".join(f"s{i}v{v}w{k}" for k in range(10)) for i in range(100) for v in [int(rng.random() < 0.4)]]
+        rows += [(2 * p + k, " ".join(shared + [f"p{p}k{k}x{i}" for i in range(125)])) for k in (0, 1)]
+    a, b, c = (shingle_set(t) for _, t in rows[:3])
+    assert len(a & b) / len(a | b) == 0.8 and len(a & c) / len(a | c) < 0.4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sum(r["n_links"] for r in chosenpath.join_documents(docs).collect()) / 2
+    assert 0.999 * 800 <= found <= 800
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (300, 300)] + [(500, 500 + k) for k in range(1, 300)]
     df = spark.createDataFrame(edges, "a long, b long")
