@@ -3,20 +3,25 @@
 Equal texts are one set. Every set has a sketch of :data:`DIMS` min-hash values, its tokens. A run
 splits the sets recursively: in a bucket, a set goes to the child of each of its tokens that a hash of
 the bucket's path samples, with probability 1 / (LEAST * DIMS); so two sets of similarity LEAST share one
-sampled token on average. Small buckets are compared by brute force. In a large one every set is
-compared with a pivot: sets at least :data:`PIVOT` alike are tied to it, and those at least
-:data:`LEAVE` alike need not be split further, since by the triangle inequality of the Jaccard distance
-whatever is LEAST alike to them is tied to the pivot as well. There are as many runs as give a pair at the
-threshold the expected recall :data:`RECALL` after all :data:`DEPTH` splits.
+sampled token on average. A path depends on its set alone, so the first :data:`SPLITS` splits are made
+where the sketch is, and unlike sets, even those with a common passage, hardly ever meet in a bucket.
+Buckets of up to :data:`SMALL` sets are compared by brute force; equal ones of several runs are compared
+once. In a larger one every set is compared with up to :data:`PIVOTS` pivots: sets at least :data:`PIVOT`
+alike are tied to one, and those at least :data:`LEAVE` alike need not be split further, since by the
+triangle inequality of the Jaccard distance whatever is LEAST alike to them is tied to that pivot as well.
+The others are split again, until no large bucket is left. There are as many runs as give a pair at the threshold the
+expected recall :data:`RECALL` after SPLITS splits; sets that needed more splits get the runs that so
+many splits need.
 
 Sketches only propose: all texts of a proposed class are compared exactly, as shingle sets, in blocks
 of at most :data:`BLOCK` texts, whose pairs are dealt evenly over the tasks; a class of any size is
 verified whole. Links of similarity LEAST or more are counted for every document and joined to classes.
+A class of n different texts costs n / BLOCK copies of each, which exact counts of links need.
 
 Defined cases: a null text is empty; equal texts are alike, the empty ones too; a text of under five
 words is one shingle of all its words; case of ASCII letters and kind of whitespace do not matter to
 shingles; a class is named by its smallest doc_id; repeated rows are copies; ties cannot arise; extra
-columns are not read.
+columns are not read by the join and pass through :func:`keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, text_slices
+from .common import bounded_broadcast, key_filter, materialise, scratch, text_slices, unused
 from .components import connected_components
 from .textvec import column_bytes, mix, row_counts, shingles, span_hashes, words
 
@@ -37,20 +42,23 @@ WIDTH = 5
 LEAST = 0.8
 DIMS = 128
 RECALL = 0.999
-SMALL = 64
-DEPTH = 5
-#: Estimates from sketches: pairs proposed in small buckets (five standard errors below LEAST), ties to a pivot, and leaving.
-PROPOSE, PIVOT, LEAVE = 0.62, 0.5, 0.75
+SMALL = 512
+PIVOTS = 8
+#: Splits made before buckets are formed.
+SPLITS = 3
+#: Estimates from sketches: pairs proposed in small buckets (five standard errors below LEAST); ties to a pivot and leaving. What
+#: is LEAST alike to a set that is LEAVE - 0.1 alike to the pivot is PIVOT + 0.1 alike to the pivot (two standard errors each).
+PROPOSE, PIVOT, LEAVE = 0.62, 0.15, 0.55
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
-#: Up to so many pivots of large buckets (300 bytes each) are broadcast; beyond, they are joined by shuffle.
-BROADCAST_PIVOTS = 20_000
+#: Up to so many large buckets' pivots (2 KB a bucket) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_BUCKETS = 4_000
 _U = np.uint64
 _ODD = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, DIMS, dtype=np.uint64) * _U(2) + _U(1)
 _DIM = mix(np.arange(1, DIMS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-def lost(n_runs: int, depth: int = DEPTH) -> float:
+def lost(n_runs: int, depth: int = SPLITS) -> float:
     """Probability that a pair at the threshold meets in none of ``n_runs`` runs whose buckets are small after ``depth`` splits.
 
     All runs draw from one pair of sketches, so it is a mean over the number of tokens that the two share.
@@ -64,8 +72,8 @@ def lost(n_runs: int, depth: int = DEPTH) -> float:
     return total
 
 
-def runs(recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Least number of runs by which a pair at the threshold has met with probability ``recall``, whatever splits up to ``depth`` its buckets need."""
+def runs(recall: float = RECALL, depth: int = SPLITS) -> int:
+    """Least number of runs by which a pair at the threshold has met with probability ``recall`` if its buckets need ``depth`` splits."""
     n = 1
     while lost(n, depth) > 1 - recall:
         n += 1
@@ -83,17 +91,24 @@ def min_hashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def children(path: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child path) of every sampled token of each row in the bucket ``path``.
-
-    The first split needs whole tokens, as any two sets of the table may meet there; below it, 16 bits
-    of each are enough to tell the sets of one bucket apart.
-    """
+    """(row, child path) of every sampled token of each row in the bucket ``path``."""
     with np.errstate(over="ignore"):
         drawn = mix((token.astype(np.uint64) + _DIM) ^ path[:, None])
     row, dim = np.nonzero(drawn < _U(int(2**64 / (LEAST * DIMS))))
     return row, mix(drawn[row, dim] + _U(1))
 
 
+def first_paths(token: np.ndarray, lo: int, hi: int, splits: int = SPLITS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path) of all rows after ``splits`` splits of the runs ``lo`` to ``hi``, by rows."""
+    start = mix(np.arange(lo + 1, hi + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
+    row, path = np.tile(np.arange(len(token)), len(start)), np.repeat(start, len(token))
+    for _ in range(splits):
+        of, path = children(path, token[row])
+        row = row[of]
+    order = np.argsort(row, kind="stable")
+    return row[order], path[order]
+
+
 def _sketch_rows(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, DIMS)
 
@@ -151,19 +166,14 @@ def forest(adjacent: np.ndarray) -> np.ndarray:
 
 
 def _compare_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a spanning forest of the pairs that look alike, for each pair of blocks (path, lo, hi, side, key, sketch)."""
-    for t in _groups(batches, 3):
-        keys, s = t.column(4).to_pylist(), _sketch_rows(t.column(5))
-        side = t.column(3).to_numpy()
-        alike = np.zeros((len(keys), len(keys)), bool)
-        for i in range(len(keys)):
-            alike[i] = (s == s[i]).sum(1) >= PROPOSE * DIMS
-        if t.column(1)[0] != t.column(2)[0]:
-            alike &= side[:, None] != side[None, :]
+    """Edges of a spanning forest of the pairs that look alike in each small bucket (bucket, id, sketch)."""
+    for t in _groups(batches, 1):
+        ids, s = t.column(1).to_numpy(), _sketch_rows(t.column(2))
+        alike = np.array([(s == x).sum(1) >= PROPOSE * DIMS for x in s])
         label = forest(alike)
-        out = np.flatnonzero(label != np.arange(len(keys))).tolist()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in out], pa.binary()), pa.array([keys[label[i]] for i in out], pa.binary())], names=["a", "b"])
+        out = np.flatnonzero(label != np.arange(len(ids)))
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ids[label[out]])], names=["a", "b"])
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -212,63 +222,70 @@ def text_sets(col) -> list[np.ndarray]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, links, label) of the texts of each pair of blocks (class, lo, hi, side, key, copies, text, blocks)."""
+    """(id, links, label) of the texts of each pair of blocks (class, lo, hi, side, id, copies, text, blocks)."""
     for t in _groups(batches, 3):
-        keys = t.column(4).to_pylist()
-        own = np.array([i for i, k in enumerate(keys) if i == 0 or keys[i - 1] != k])  # rows are sorted by key; a row may repeat
+        own = np.unique(t.column(4).to_numpy(), return_index=True)[1]  # rows are sorted by id; one may repeat
         if len(own) < 2:
             continue
         t = t.take(pa.array(own)).combine_chunks()
-        keys, side, copies = t.column(4).to_pylist(), t.column(3).to_numpy(), t.column(5).to_numpy()
+        ids, side, copies = t.column(4).to_numpy(), t.column(3).to_numpy(), t.column(5).to_numpy()
         sets = text_sets(t.column(6).combine_chunks())
         both = intersections(sets)
         size = np.array([len(s) for s in sets])
         union = size[:, None] + size[None, :] - both
         # integers, so that a similarity of exactly LEAST is one on every machine
         alike = (both * 10 >= round(LEAST * 10) * union) & (union > 0)
-        alike[np.arange(len(keys)), np.arange(len(keys))] = False
+        alike[np.arange(len(ids)), np.arange(len(ids))] = False
         if t.column(1)[0] != t.column(2)[0]:
             alike &= side[:, None] != side[None, :]
         links = alike @ copies
         label = forest(alike)
-        out = np.flatnonzero(links).tolist()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in out], pa.binary()), pa.array(links[out], pa.int64()), pa.array([keys[label[i]] for i in out], pa.binary())], names=["key", "links", "label"])
+        out = np.flatnonzero(links)
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(links[out], pa.int64()), pa.array(ids[label[out]])], names=["id", "links", "label"])
 
 
 def _sketch_column(n_runs: int):
-    """Sketches and first paths, those of all runs, of rows (doc_id, key, text)."""
-    start = mix(np.arange(1, n_runs + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
+    """Number of shingles, sketch and paths of all runs of rows (doc_id, key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             raw, off = column_bytes(part.column(2))
             starts, ends = words(raw, off)
             hashes, at = shingles(span_hashes(raw, starts, ends), row_counts(starts, off), WIDTH)
-            tokens = min_hashes(hashes, at)
-            found = [children(np.full(len(tokens), r), tokens) for r in start]
-            row = np.concatenate([r for r, _ in found])
-            order = np.argsort(row, kind="stable")
-            path = np.concatenate([p for _, p in found])[order].view(np.int64)
-            bounds = np.searchsorted(row[order], np.arange(len(tokens) + 1)).astype(np.int32)
-            paths = pa.ListArray.from_arrays(pa.array(bounds), pa.array(path))
-            sketch = (tokens & _U(0xFFFF)).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at)), pa.array([x.tobytes() for x in sketch], pa.binary()), paths], names=["doc_id", "key", "n", "sketch", "paths"])
+            # 16 bits of a token tell sets apart well enough: unlike ones meet only where SPLITS tokens agree
+            tokens = (min_hashes(hashes, at) & _U(0xFFFF)).astype(np.uint16)
+            row, path = first_paths(tokens, 0, n_runs)
+            bounds = np.searchsorted(row, np.arange(len(tokens) + 1)).astype(np.int32)
+            paths = pa.ListArray.from_arrays(pa.array(bounds), pa.array(path.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at)), pa.array([x.tobytes() for x in tokens], pa.binary()), paths], names=["doc_id", "key", "n", "sketch", "paths"])
 
     return run
 
 
-def _spanning(a: list[bytes], b: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+def _more_runs(lo: int, hi: int):
+    """Paths of the runs ``lo`` to ``hi`` of rows (id, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                row, path = first_paths(_sketch_rows(b.column(1)), lo, hi)
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column(0).take(pa.array(row))], names=["path", "id"])
+
+    return run
+
+
+def _spanning(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """As few edges that connect what the edges (a, b) connect."""
-    up: dict[bytes, bytes] = {}
+    up: dict[int, int] = {}
 
-    def top(x: bytes) -> bytes:
+    def top(x: int) -> int:
         while (y := up.setdefault(x, x)) != x:
             up[x] = up[y] if y in up else y
             x = up[x]
         return x
 
-    out: tuple[list[bytes], list[bytes]] = ([], [])
+    out: tuple[list[int], list[int]] = ([], [])
     for x, y in zip(a, b, strict=True):
         p, q = top(x), top(y)
         if p != q:
@@ -278,93 +295,137 @@ def _spanning(a: list[bytes], b: list[bytes]) -> tuple[list[bytes], list[bytes]]
     return out
 
 
-def proposals(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between the keys of ``sets`` (key, sketch, paths) that chosen paths bring together and sketches find alike."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ties to the pivot and the paths of what is split further, of rows (path, key, sketch, pivot, pivot_sketch)."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            s, p = _sketch_rows(b.column(2)), _sketch_rows(b.column(4))
-            alike = (s == p).mean(1)
-            tied = pa.array(np.flatnonzero(alike >= PIVOT))
-            ours, pivots = _spanning(b.column(1).take(tied).to_pylist(), b.column(3).take(tied).to_pylist())
-            left = np.flatnonzero(alike < LEAVE)
-            row, path = children(b.column(0).to_numpy()[left].view(np.uint64), s[left])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(ours), pa.int64()), pa.array(ours, pa.binary()), pa.array(pivots, pa.binary())], names=["path", "key", "pivot"])
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column(1).take(pa.array(left[row])), pa.nulls(len(row), pa.binary())], names=["path", "key", "pivot"])
-
-    edges, leaves = [], []
-    rows = sets.select(F.explode("paths").alias("path"), "key")
-    for level in range(1, DEPTH + 1):
-        sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("pivot")).where("size > 1"), "cp-sizes")
-        # the last level's buckets are compared whole, in blocks, whatever their size
-        small = F.col("size") <= SMALL if level < DEPTH else F.lit(True)
-        leaves.append(rows.join(sizes.where(small).select("path", "size"), "path"))
-        large = materialise(sizes.where(~small).select("path", "pivot"), "cp-large")
-        if large.limit(1).count() == 0:
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties to pivots (no path) and the paths of what is split further, of rows (path, id, sketch, pivots, pivot_sketches)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        path, ids, s = b.column(0).to_numpy(), b.column(1).to_numpy(), _sketch_rows(b.column(2))
+        leave, ours, theirs = np.zeros(len(ids), bool), [], []
+        order = np.argsort(path, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(path[order])) + 1):
+            pivots = np.array(b.column(3)[rows[0]].as_py(), np.int64)
+            sketches = np.frombuffer(b"".join(b.column(4)[rows[0]].as_py()), np.uint16).reshape(-1, DIMS)
+            alike = np.stack([(s[rows] == p).mean(1) for p in sketches])
+            leave[rows] = (alike >= LEAVE).any(0)
+            at, row = np.nonzero(alike >= PIVOT)
+            ours += ids[rows[row]].tolist()
+            theirs += pivots[at].tolist()
+        ours, theirs = _spanning(ours, theirs)
+        left = np.flatnonzero(~leave)
+        row, child = children(path[left].view(np.uint64), s[left])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(ours), pa.int64()), pa.array(ours, pa.int64()), pa.array(theirs, pa.int64())], names=["path", "id", "pivot"])
+        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[left[row]]), pa.nulls(len(row), pa.int64())], names=["path", "id", "pivot"])
+
+
+def proposals(sets: DataFrame, recall: float = RECALL) -> DataFrame:
+    """Edges (a, b) between the ids of ``sets`` (id, sketch, paths) that chosen paths bring together and sketches find alike.
+
+    Joins with the table of sets are shuffled at every size, so cost grows in proportion to it.
+    """
+    ties, buckets = [], []
+    sketches = sets.select("id", "sketch")
+    rows, done, deepest = sets.select(F.explode("paths").alias("path"), "id"), runs(recall), SPLITS
+    while True:
+        splits, again = SPLITS, None
+        while True:
+            sizes = materialise(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "cp-sizes")
+            # a small bucket is a short list; those of several runs that hold the same sets are one
+            small = sizes.where(F.col("size") <= SMALL).select("path")
+            buckets.append(materialise(rows.join(small.hint("merge"), "path").groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").distinct(), "cp-buckets"))
+            large = sizes.where(F.col("size") > SMALL).select("path")
+            if large.limit(1).count() == 0:
+                break
+            inside = materialise(rows.join(large, "path"), "cp-inside")
+            turn = F.pmod(F.xxhash64("id", "path"), F.lit(PIVOTS))
+            drawn = inside.groupBy("path").agg(F.array_compact(F.array(*[F.min(F.when(turn == k, F.col("id"))) for k in range(PIVOTS)])).alias("pivots"))
+            pivots = drawn.select("path", F.explode("pivots").alias("id")).join(sketches, "id").groupBy("path").agg(F.collect_list("id").alias("pivots"), F.collect_list("sketch").alias("pivot_sketches"))
+            # a set is in few buckets of a level, so its paths are one short row and its sketch travels once
+            known = inside.groupBy("id").agg(F.collect_list("path").alias("paths")).join(sketches, "id")
+            met = known.select("id", "sketch", F.explode("paths").alias("path")).join(bounded_broadcast(materialise(pivots, "cp-pivots"), BROADCAST_BUCKETS), "path")
+            out = materialise(met.select("path", "id", "sketch", "pivots", "pivot_sketches").mapInArrow(_split, "path long, id long, pivot long"), "cp-split")
+            ties.append(out.where("path is null and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+            rows = out.where("path is not null").select("path", "id")
+            again = rows if again is None else again
+            splits += 1
+        deepest = max(deepest, splits)
+        need = runs(recall, deepest)
+        if again is None or need <= done:
             break
-        pivots = materialise(large.join(sets.select(F.col("key").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot"), "cp-pivots")
-        # a set is in few buckets of a level, so its paths are one short row and its sketch travels once; rows
-        # of a set then stand together, and its ties to many pivots shrink to one and the ties among pivots
-        inside = rows.join(large.select("path"), "path").groupBy("key").agg(F.collect_list("path").alias("paths"))
-        known = materialise(inside.join(sets.select("key", "sketch"), "key"), "cp-known")
-        met = known.select("key", "sketch", F.explode("paths").alias("path")).join(bounded_broadcast(pivots, BROADCAST_PIVOTS), "path").select("path", "key", "sketch", "pivot", "pivot_sketch")
-        out = materialise(met.mapInArrow(split, "path long, key binary, pivot binary"), "cp-split")
-        edges.append(out.where("path is null and key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        rows = out.where("path is not null").select("path", "key")
-    leaf = leaves[0]
-    for more in leaves[1:]:
-        leaf = leaf.unionByName(more)
-    leaf = materialise(leaf, "cp-leaves")
-    compared = leaf.join(sets.select("key", "sketch"), "key").select("path", "key", "sketch", "size")
-    edges.append(block_pairs(compared, "path", "key", F.ceil(F.col("size") / (4 * SMALL)), _compare_sketches, "a binary, b binary"))
-    found = edges[0]
-    for more in edges[1:]:
+        # sets that went on from a large bucket get the runs that their further splits need
+        rows = materialise(again.select("id").distinct().join(sketches, "id").mapInArrow(_more_runs(done, need), "path long, id long"), "cp-more")
+        done = need
+    lists = buckets[0]
+    for more in buckets[1:]:
+        lists = lists.unionByName(more)
+    lists = materialise(lists.distinct().select(F.monotonically_increasing_id().alias("bucket"), "ids"), "cp-lists")
+    members = lists.select("bucket", F.explode("ids").alias("id")).join(sketches.hint("merge"), "id").select("bucket", "id", "sketch")
+    found = members.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_compare_sketches, "a long, b long")
+    for more in ties:
         found = found.unionByName(more)
     return found
 
 
-def similarity_classes(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, key) and distinct texts (key, label, rep, copies, class_id, links): the join's whole result.
+def similarity_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """Distinct texts (key, class, rep, copies, links, class_id, members): the join's whole result.
 
-    ``key`` is the text's MD5, ``label`` the smallest key of its class, ``rep`` the smallest doc_id of its copies, ``links`` the number of
-    documents with a different text that are at least LEAST alike.
+    ``key`` is the text's MD5, ``class`` the number of its class, ``rep`` the smallest doc_id of its copies, ``links`` the number of
+    documents with a different text that are at least LEAST alike, ``members`` the number of documents of the class.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    drawn = materialise(keyed.mapInArrow(_sketch_column(runs(recall, DEPTH)), f"doc_id {kind}, key binary, n long, sketch binary, paths array<bigint>"), "cp-documents")
-    sets = materialise(drawn.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "cp-sets")
-    proposed = connected_components(proposals(sets.where("n > 0")))
-    members = materialise(proposed.select(F.col("node").alias("key"), F.col("label").alias("class")).join(sets.select("key", "rep", "copies", "n"), "key"), "cp-members")
-    sizes = materialise(members.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")), "cp-classes")
-    placed = materialise(members.join(sizes, "class"), "cp-placed")
-    whole = keyed.withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key")
-    texts = placed.join(whole, (F.col("key") == F.col("_key")) & F.col("rep").eqNullSafe(F.col("_id"))).select("class", "key", "copies", "text", "blocks")
-    verified = materialise(block_pairs(texts, "class", "key", F.col("blocks"), _verify, "key binary, links long, label binary"), "cp-verified")
-    links = verified.groupBy("key").agg(F.sum("links").alias("links"))
-    joined = connected_components(verified.where("key <> label").select(F.col("key").alias("a"), F.col("label").alias("b")))
-    labels = materialise(joined.withColumnRenamed("node", "key").join(links, "key"), "cp-labels")
-    named = materialise(sets.select("key", "rep", "copies").join(labels, "key", "left").select("key", "rep", "copies", F.coalesce("label", "key").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "cp-named")
-    names = materialise(named.groupBy("label").agg(F.min("rep").alias("class_id")), "cp-names")
-    return drawn.select("doc_id", "key"), materialise(named.join(names, "label").select("key", "label", "rep", "copies", "class_id", "links"), "cp-texts")
+    spark = docs.sparkSession
+    with scratch(spark) as stay:
+        text = F.coalesce(F.col("text"), F.lit(""))
+        keyed = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        drawn = keyed.mapInArrow(_sketch_column(runs(recall)), f"doc_id {kind}, key binary, n long, sketch binary, paths array<bigint>")
+        drawn = drawn.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+        sets = materialise(drawn.select(F.monotonically_increasing_id().alias("id"), "*"), "cp-sets")
+        proposed = connected_components(proposals(sets.where("n > 0"), recall))
+        members = materialise(proposed.select(F.col("node").alias("id"), F.col("label").alias("class")).join(sets.select("id", "key", "rep", "copies", "n").hint("merge"), "id"), "cp-members")
+        sizes = materialise(members.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")), "cp-classes")
+        placed = materialise(members.join(sizes, "class").select("class", "id", "key", "rep", "copies", "blocks"), "cp-placed")
+        # only texts that may be some class's are shuffled
+        asked = key_filter(placed.select(F.xxhash64("key", "rep").alias("key")), placed.count())
+        whole = keyed.where(asked(F.xxhash64("key", "doc_id"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "text")
+        texts = placed.join(whole.hint("merge"), (F.col("key") == F.col("_key")) & F.col("rep").eqNullSafe(F.col("_id"))).select("class", "id", "copies", "text", "blocks")
+        verified = materialise(block_pairs(texts, "class", "id", F.col("blocks"), _verify, "id long, links long, label long"), "cp-verified")
+        links = verified.groupBy("id").agg(F.sum("links").alias("links"))
+        joined = connected_components(verified.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")))
+        labels = materialise(joined.withColumnRenamed("node", "id").join(links, "id"), "cp-labels")
+        named = sets.select("id", "key", "rep", "copies").join(labels, "id", "left")
+        named = materialise(named.select("key", F.coalesce("label", "id").alias("class"), "rep", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.col("label").isNotNull().alias("tied")), "cp-named")
+        # a text without links is a class of its own
+        names = named.where("tied").groupBy("class").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("members"))
+        shared = named.where("tied").join(names, "class").select("key", "class", "rep", "copies", "links", "class_id", "members")
+        alone = named.where("not tied").select("key", "class", "rep", "copies", "links", F.col("rep").alias("class_id"), F.col("copies").alias("members"))
+        return materialise(shared.unionByName(alone), "cp-texts", stay)
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_links) of every document; copies of one text are links of each other."""
-    rows, texts = similarity_classes(docs)
-    return rows.join(texts, "key").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    texts = similarity_classes(docs)
+    rows = docs.select("doc_id", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("key"))
+    return rows.join(texts.select("key", "class_id", "links", "copies").hint("merge"), "key").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one document of each class: the one with the smallest id, once."""
-    _, texts = similarity_classes(docs)
-    none = F.lit(-(1 << 63))
-    kept = texts.where(F.col("rep").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_key"), F.coalesce(F.col("rep"), none).alias("_id"))
+    """``docs``, all columns, with one document of each class: the one with the smallest id, once.
+
+    Filters of bounded size tell most rows that are alone in their class, and most that are not the one to stay; a join
+    decides on the others.
+    """
+    texts = similarity_classes(docs)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key, plural, chosen, kept_key, kept_rep = (unused(c, docs) for c in ("key_", "plural_", "chosen_", "kept_key_", "kept_rep_"))
     # two texts of one id can both be the smallest of their class; the smaller digest stays
-    kept = kept.join(texts.groupBy("label").agg(F.min(F.when(F.col("rep").eqNullSafe(F.col("class_id")), F.col("key"))).alias("_key")).select("_key"), "_key")
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.withColumn("_key", F.unhex(F.md5(text))).withColumn("_id", F.coalesce(F.col("doc_id"), none))
-    return keyed.join(materialise(kept, "cp-kept"), ["_key", "_id"], "left_semi").dropDuplicates(["_key", "_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = texts.where((F.col("members") > 1) & F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min(F.struct("key", "rep")).alias("kept"))
+    kept = first.select(F.col("kept.key").alias(kept_key), F.col("kept.rep").alias(kept_rep))
+    several = texts.where("members > 1").select(F.xxhash64("key").alias("key"))
+    in_class = key_filter(several, several.count())
+    is_kept = key_filter(kept.select(F.xxhash64(kept_key, kept_rep).alias("key")), kept.count())
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    flagged = keyed.withColumn(plural, in_class(F.xxhash64(key))).withColumn(chosen, is_kept(F.xxhash64(key, "doc_id")))
+    asked = flagged.where(F.col(plural) & F.col(chosen))
+    same = (F.col(key) == F.col(kept_key)) & F.col("doc_id").eqNullSafe(F.col(kept_rep))
+    stays = asked.join(kept.hint("merge"), same, "left_semi").dropDuplicates([key, "doc_id"])
+    return flagged.where(~F.col(plural)).select(*columns).unionByName(stays.select(*columns))

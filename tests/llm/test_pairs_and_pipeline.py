@@ -96,18 +96,18 @@ def test_intersections():
 def test_runs_meet_the_recall():
     assert chosenpath.runs(0.5) < chosenpath.runs(0.99) < chosenpath.runs(0.999)
     rng = np.random.default_rng(0)
-    met, pairs = 0, 200
-    start = np.arange(1, chosenpath.runs() + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
+    met, pairs = 0, 400
     for _ in range(pairs):
         a = rng.integers(0, 1 << 63, (1, chosenpath.DIMS), dtype=np.uint64)
         b = a.copy()
         b[0, rng.choice(chosenpath.DIMS, int(chosenpath.DIMS * 0.2), replace=False)] += np.uint64(1)
-        met += any(set(chosenpath.children(np.array([r]), a)[1].tolist()) & set(chosenpath.children(np.array([r]), b)[1].tolist()) for r in start)
-    assert met >= 0.97 * pairs
+        met += bool(set(chosenpath.first_paths(a, 0, chosenpath.runs())[1].tolist()) & set(chosenpath.first_paths(b, 0, chosenpath.runs())[1].tolist()))
+    assert met >= 0.985 * pairs
 
 
 def test_runs_suffice_for_all_splits():
-    assert chosenpath.lost(chosenpath.runs(0.999, chosenpath.DEPTH), chosenpath.DEPTH) <= 0.001 < chosenpath.lost(chosenpath.runs() - 1)
+    for splits in (3, 5, 8):
+        assert chosenpath.lost(chosenpath.runs(0.999, splits), splits) <= 0.001 < chosenpath.lost(chosenpath.runs(0.999, splits) - 1, splits)
 
 
 def test_recall_where_buckets_split_to_the_last_level(spark, monkeypatch):
