@@ -2,9 +2,10 @@
 
 Two bigram models over 66 character classes are trained on labelled samples from the whole table: the
 values of the fixed patterns (random strings, with seeded random ones beside them for tables that have
-few) and the ordinary words of 3 to 19 characters, with seeded
-identifiers. A run of 20 characters or more from
-the alphabet of keys is a secret if its log-likelihood ratio exceeds :data:`LEAST_RATIO`.
+few) and the ordinary words of 3 to 19 characters, with seeded identifiers. What of a run of the
+alphabet of keys lies outside base spans, its best segments are secrets if their log-likelihood ratio
+exceeds :data:`LEAST_RATIO` and they have at least :data:`LEAST_DISTINCT` different signs; no other length
+is asked for.
 
 Base spans: leftmost non-overlapping matches of each kind, those failing the kind's minimal length
 dropped; model spans never replace or shorten them and are left out where they overlap one.
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_slices
-from .textvec import LOWER, column_bytes
+from .textvec import LOWER, column_bytes, runs
 
 ASSIGN = re.compile(r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")  # LEAST_DISTINCT signs at least
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "markov")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -55,24 +56,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def _rows_with_runs(black: np.ndarray, off: np.ndarray, least: int) -> np.ndarray:
-    edge = np.diff(np.concatenate([[0], black.view(np.int8), [0]]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return np.searchsorted(off, starts[ends - starts >= least], side="right") - 1
+def _rows(off: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.searchsorted(off, at, side="right") - 1
 
 
-def suspects(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows of a text column in which any pattern or run can occur; the others have no spans for certain."""
-    found = [_rows_with_runs(_IS_HEX[raw], off, LEAST["hex"]), _rows_with_runs(_CLASS[raw] > 0, off, 20)]
+def base_suspects(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows of a text column in which a base pattern can occur; the others have no base span for certain."""
+    starts, ends = runs(_IS_HEX[raw], off)
+    found = [_rows(off, starts[ends - starts >= LEAST["hex"]])]
     low = LOWER[raw].tobytes()
     for key in (*KEYWORDS, b"akia"):
         at, hits = low.find(key), []
         while at >= 0:
             hits.append(at)
             at = low.find(key, at + 1)
-        found.append(np.searchsorted(off, np.array(hits, np.int64), side="right") - 1)
-    rows = np.unique(np.concatenate(found)) if len(raw) else np.zeros(0, np.int64)
-    return rows[(rows >= 0) & (rows < len(off) - 1)]
+        found.append(_rows(off, np.array(hits, np.int64)))
+    return np.unique(np.concatenate(found))
+
+
+def model_suspects(raw: np.ndarray, off: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Rows with a run whose positive ratios add up to more than LEAST_RATIO; in the others no segment can."""
+    cls = _CLASS[raw]
+    starts, ends = runs(cls > 0, off)
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    before = np.concatenate([[0], cls[:-1]])
+    before[starts] = 0
+    gain = np.where(cls > 0, np.maximum(ratio[before * N + cls], 0), 0)
+    total = np.add.reduceat(gain, starts) + np.maximum(ratio[cls[ends - 1] * N], 0)
+    return np.unique(_rows(off, starts[total > LEAST_RATIO]))
 
 
 def _bigrams(text: bytes) -> np.ndarray:
@@ -88,20 +100,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(raw):
             continue
         cls = _CLASS[raw]
-        edge = np.diff(np.concatenate([[0], (cls > 0).view(np.int8), [0]]))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts, ends = runs(cls > 0, off)
         ordinary = (ends - starts >= 3) & (ends - starts < 20)
-        keep = np.zeros(len(raw) + 1, np.int64)
-        keep[starts[ordinary]] = 1
-        keep[ends[ordinary]] -= 1
-        masked = np.concatenate([[0], np.where(np.cumsum(keep[:-1]) > 0, cls, 0), [0]])
+        # the ordinary runs one after the other, an edge before each and after the last
+        size = ends[ordinary] - starts[ordinary]
+        masked = np.zeros(int(size.sum()) + len(size) + 1, np.int64)
+        place = np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size, size)
+        at = np.arange(len(place)) - place
+        masked[np.arange(len(place)) + np.repeat(np.arange(len(size)), size) + 1] = cls[np.repeat(starts[ordinary], size) + at]
         plain += np.bincount(masked[:-1] * N + masked[1:], minlength=N * N)
-        for row in suspects(raw, off).tolist():
+        for row in base_suspects(raw, off).tolist():
             text = col[row].as_py()
             for s, e, kind in base_spans(text):
                 value = text[s:e] if kind != "assign" else ASSIGN.match(text, s)[1]
                 random_ += _bigrams(value.encode())
-    plain[0] = 0  # between words
     at = np.flatnonzero(random_ + plain)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(random_[at]), pa.array(plain[at])], names=["pair", "n_random", "n_plain"])
 
@@ -152,16 +164,48 @@ def train(docs: DataFrame) -> np.ndarray:
     return (log(random_) - log(plain)).reshape(-1)
 
 
+def _segments(text: str, start: int, end: int, ratio: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Segments of the piece [start, end) of a run that the models hold for random, the best first.
+
+    Less than LEAST_DISTINCT signs that a segment leaves at an end of the piece belong to it.
+    """
+    todo = [(start, end)]
+    while todo:
+        a, b = todo.pop()
+        if len(set(text[a:b])) < LEAST_DISTINCT:
+            continue
+        c = np.concatenate([[0], _CLASS[np.frombuffer(text[a:b].encode(), np.uint8)], [0]])
+        # one ratio of each sign after the sign before it, and of the end
+        upto = np.concatenate([[0], np.cumsum(ratio[c[:-1] * N + c[1:]])])
+        gain = upto[1:] - np.minimum.accumulate(upto[:-1])
+        last = int(np.argmax(gain))
+        if gain[last] <= LEAST_RATIO:
+            continue
+        first = int(np.argmin(upto[: last + 1]))
+        lo, hi = a + first, min(a + last + 1, b)
+        lo, hi = a if lo - a < LEAST_DISTINCT else lo, b if b - hi < LEAST_DISTINCT else hi
+        if len(set(text[lo:hi])) >= LEAST_DISTINCT:
+            yield lo, hi
+        todo += [(a, lo), (hi, b)]
+
+
 def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, str]]:
     """All spans of a text by start, then kind as listed in :data:`KINDS`."""
     found = base_spans(text)
     taken = sorted((s, e) for s, e, _ in found)
+    k = 0
     for m in RUN.finditer(text):
-        if len(set(m[0])) < LEAST_DISTINCT or any(s < m.end() and m.start() < e for s, e in taken):
-            continue
-        c = np.concatenate([[0], _CLASS[np.frombuffer(m[0].encode(), np.uint8)], [0]])
-        if ratio[c[:-1] * N + c[1:]].sum() > LEAST_RATIO:
-            found.append((m.start(), m.end(), "markov"))
+        at = m.start()
+        while k < len(taken) and taken[k][1] <= at:
+            k += 1
+        i = k
+        while i < len(taken) and taken[i][0] < m.end():
+            if taken[i][0] > at:
+                found += [(s, e, "markov") for s, e in _segments(text, at, taken[i][0], ratio)]
+            at = max(at, taken[i][1])
+            i += 1
+        if at < m.end():
+            found += [(s, e, "markov") for s, e in _segments(text, at, m.end(), ratio)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -174,7 +218,8 @@ def find_secrets(docs: DataFrame, ratio: np.ndarray | None = None) -> DataFrame:
         for part in text_slices(batches):
             col = part.column(1)
             out: list[list[dict]] = [[] for _ in range(len(col))]
-            for row in suspects(*column_bytes(col)).tolist():
+            raw, off = column_bytes(col)
+            for row in np.union1d(base_suspects(raw, off), model_suspects(raw, off, ratio)).tolist():
                 out[row] = [{"kind": k, "start": s, "end": e} for s, e, k in spans(col[row].as_py(), ratio)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, kind_type)], names=["doc_id", "spans"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -53,22 +55,26 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words; a word never crosses a row's end."""
-    if not len(raw):
+def runs(black: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of marked bytes; a run never crosses a row's end."""
+    if not len(black):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    black = ~SPACE[raw]
-    before = np.empty(len(raw), bool)
+    before = np.empty(len(black), bool)
     before[0], before[1:] = False, black[:-1]
-    after = np.empty(len(raw), bool)
+    after = np.empty(len(black), bool)
     after[-1], after[:-1] = False, black[1:]
     cut = off[1:-1]
-    cut = cut[(cut > 0) & (cut < len(raw))]
+    cut = cut[(cut > 0) & (cut < len(black))]
     before[cut] = False
     after[cut - 1] = False
     return np.flatnonzero(black & ~before), np.flatnonzero(black & ~after) + 1
 
 
+def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words; a word never crosses a row's end."""
+    return runs(~SPACE[raw], off)
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hashes of byte spans, ASCII letters in lower case if asked; equal bytes give equal hashes.
 
@@ -82,11 +88,9 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         np.cumsum((_BYTE_LOWER if lower else _BYTE)[raw] * down[: len(raw)], out=total[1:])
         out = mix((total[ends] - total[starts]) * up[starts] + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
     if len(long := np.flatnonzero(ends - starts > LONG)):
-        import xxhash
-
         for i in long.tolist():
             part = raw[starts[i] : ends[i]]
-            out[i] = xxhash.xxh3_64_intdigest((LOWER[part] if lower else part).tobytes())
+            out[i] = int.from_bytes(hashlib.blake2b((LOWER[part] if lower else part).tobytes(), digest_size=8).digest(), "little")
     return out
 
 
