@@ -4,7 +4,7 @@ Disguised stretches (letters among leet signs, letters three times in a row, sin
 separators between) are decoded: a Viterbi search over the lattice of what each sign may stand for, what
 may be a repetition and what may be a dropped separator, under a character trigram model of all texts.
 The restored text is scored by a logistic regression over the presence of words and of 5-byte pieces of
-words, chosen by their association with the label.
+words, chosen by their association with the label; its penalty is chosen by folds of the training rows.
 
 What is learned from labels comes from a hash-ordered sample of at most :data:`SAMPLE` labelled rows
 (a parameter); the character model is counted over all documents. Labels, language, source and id are
@@ -19,6 +19,7 @@ reached by accident; extra columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -38,6 +39,8 @@ FEATURES = 2_000
 LEAST_DOCS = 3
 #: Of some million features tested, so few chance ones pass this log-likelihood ratio that they carry no weight together.
 LEAST_GAIN = 8
+#: Penalties of the regression to choose from, by so many folds of the training rows.
+PENALTIES, FOLDS = (2e-5, 2e-6, 2e-4, 2e-3), 4
 BITS = 22
 PIECE = 5
 SHARDS = 16
@@ -122,30 +125,50 @@ def decode(seen: str, cost: list[list[list[float]]]) -> str:
 
 
 def suspects(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that may hold mixed or repeated signs, and rows that may hold spaced letters."""
+    """Rows that may hold mixed or repeated signs, and rows that may hold spaced letters; each by its own bytes alone."""
     none = np.zeros(0, np.int64)
     if len(raw) < 3:
         return none, none
     letter, sign, low = _IS_LETTER[raw], _IS_SIGN[raw], LOWER[raw]
-    mixed = np.zeros(len(raw), bool)
-    mixed[1:] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
-    mixed[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
-    if len(raw) >= 6:  # three equal letters of two bytes
-        mixed[5:] |= (raw[5:] >= 0x80) & (raw[5:] == raw[3:-2]) & (raw[3:-2] == raw[1:-4]) & (raw[4:-1] == raw[2:-3]) & (raw[2:-3] == raw[:-5])
-    rows = np.unique(np.searchsorted(off, np.flatnonzero(mixed), side="right") - 1)
-    if raw.tobytes().find("€".encode()) >= 0:
-        rows = np.arange(len(off) - 1)
+    begins = off[:-1][np.diff(off) > 0]  # where rows begin
+    pair = np.zeros(len(raw), bool)
+    pair[1:] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+    pair[begins] = False
+    at = [np.flatnonzero(pair)]
+    data = raw.tobytes()
+    euro = "€".encode()
+    places, i = [], data.find(euro)
+    while i >= 0:
+        places.append(i)
+        i = data.find(euro, i + 1)
+    at.append(np.array(places, np.int64))
+    for wide in range(1, 5):  # three equal letters of so many bytes
+        if len(raw) < 3 * wide:
+            break
+        same = low[wide:] == low[:-wide]
+        three = same[: len(raw) - 3 * wide + 1].copy()
+        for k in range(1, 2 * wide):
+            three &= same[k : len(three) + k]
+        three &= letter[: len(three)] if wide == 1 else raw[: len(three)] >= 0xC0
+        start = np.flatnonzero(three)
+        row = np.searchsorted(off, start, side="right") - 1
+        at.append(start[start + 3 * wide <= off[row + 1]])
+    rows = np.unique(np.searchsorted(off, np.concatenate(at), side="right") - 1)
     # by characters, so that a letter of two bytes is one: a letter alone, a separator, a letter alone, a separator, a letter alone
     lead = (raw < 0x80) | (raw >= 0xC0)
     chars = raw[lead]
     spaced = none
     if len(chars) >= 5:
+        first = np.concatenate([[0], np.cumsum(lead)])[off]  # each row's first character
         wide, sep = _IS_LETTER[chars], _IS_SEP[chars]
-        alone = wide & ~np.concatenate([[False], wide[:-1]]) & ~np.concatenate([wide[1:], [False]])
+        before, after = np.concatenate([[False], wide[:-1]]), np.concatenate([wide[1:], [False]])
+        inner = first[1:-1]
+        before[inner[inner < len(chars)]] = False
+        after[inner[inner > 0] - 1] = False
+        alone = wide & ~before & ~after
         at = np.flatnonzero(alone[:-4] & sep[1:-3] & alone[2:-2] & sep[3:-1] & alone[4:])
-        if len(at):
-            begins = np.concatenate([[0], np.cumsum(np.add.reduceat(np.concatenate([lead, [False]]), off[:-1]) * (np.diff(off) > 0))])
-            spaced = np.unique(np.searchsorted(begins, at, side="right") - 1)
+        row = np.searchsorted(first, at, side="right") - 1
+        spaced = np.unique(row[at + 5 <= first[row + 1]])
     return rows, spaced
 
 
@@ -273,6 +296,23 @@ def fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, weig
     return w, bias
 
 
+def choose_penalty(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int, weight: np.ndarray, fold: np.ndarray) -> float:
+    """The penalty of :data:`PENALTIES` with the least log loss on folds left out of the fit, all of them training rows."""
+    loss = np.zeros(len(PENALTIES))
+    for k in np.unique(fold).tolist():
+        train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if not len(train) or not 0 < (weight[train] @ y[train]) < weight[train].sum():
+            continue
+        place = np.full(len(y), -1)
+        place[train] = np.arange(len(train))
+        own = place[rows] >= 0
+        for i, penalty in enumerate(PENALTIES):
+            w, bias = fit(place[rows[own]], cols[own], y[train], n_features, weight[train], penalty, 200)
+            z = (np.bincount(rows, w[cols], minlength=len(y)) + bias)[test]
+            loss[i] += weight[test] @ (np.logaddexp(0, z) - y[test] * z)
+    return PENALTIES[int(np.argmin(loss))]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Character model from all of ``docs``; classifier from at most ``sample`` labelled rows outside the held-out fold."""
     restorer = Restorer(count_trigrams(docs))
@@ -292,7 +332,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 2 << BITS), np.int32)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32)]  # feature and label, ascending, and rows that have it
+
+        def add(parts: list[np.ndarray]) -> list[np.ndarray]:
+            keys = np.concatenate([held[0], *parts])
+            n = np.concatenate([held[1], np.ones(len(keys) - len(held[0]), np.int32)])
+            order = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+            return [keys[order][first], np.add.reduceat(n[order], first, dtype=np.int32) if len(first) else n]
+
+        new: list[np.ndarray] = []
         for part in text_slices(batches):
             col, y = restorer.column(part.column(0)), part.column(1).to_numpy()
             raw, off = column_bytes(col)
@@ -300,25 +349,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             at = np.flatnonzero(ok)
             rows = np.searchsorted(off, np.concatenate([starts, at]), side="right") - 1
             pair = np.unique(rows * (2 << BITS) + np.concatenate([whole, pieces[at]]))
-            for label in (0, 1):
-                n[label] += np.bincount(pair[y[pair >> (BITS + 1)] == label] & ((2 << BITS) - 1), minlength=2 << BITS).astype(np.int32)
-        at = np.flatnonzero(n.sum(0))
-        cut = np.searchsorted(at, np.arange(SHARDS + 1) * ((2 << BITS) // SHARDS))
+            new.append((pair & ((2 << BITS) - 1)) * 2 + y[pair >> (BITS + 1)])
+            if sum(map(len, new)) > max(1 << 20, len(held[0])):
+                held, new = add(new), []
+        held = add(new)
+        cut = np.searchsorted(held[0], np.arange(SHARDS + 1) * 2 * ((2 << BITS) // SHARDS))
         for s in range(SHARDS):
-            part_at = at[cut[s] : cut[s + 1]]
-            if len(part_at):
-                blob = np.concatenate([part_at, n[0][part_at], n[1][part_at]]).astype(np.int32)
+            keys, n = held[0][cut[s] : cut[s + 1]], held[1][cut[s] : cut[s + 1]]
+            if len(keys):
+                blob = np.concatenate([keys.astype(np.int32), n])
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pa.compress(blob, "zstd", asbytes=True)], pa.binary()), pa.array([blob.nbytes], pa.int64())], names=["shard", "counts", "size"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = {}
         for b in batches:
             for s, blob, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                at, k0, k1 = np.frombuffer(pa.decompress(blob, size, "zstd", asbytes=True), np.int32).reshape(3, -1)
+                keys, count_of = np.frombuffer(pa.decompress(blob, size, "zstd", asbytes=True), np.int32).reshape(2, -1)
                 sums = n.setdefault(s, np.zeros((2, (2 << BITS) // SHARDS), np.int32))
-                base = s * ((2 << BITS) // SHARDS)
-                np.add.at(sums[0], at - base, k0)
-                np.add.at(sums[1], at - base, k1)
+                sums[keys & 1, (keys >> 1) - s * ((2 << BITS) // SHARDS)] += count_of  # a blob has a key once
         for s, (k0, k1) in n.items():
             gain = np.where(k1 + k0 >= LEAST_DOCS, _gain(k1.astype(float), k0.astype(float), n1, n0), 0)
             top = np.argsort(-gain, kind="stable")[:FEATURES]
@@ -346,7 +394,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # one row a distinct (has, toxic), which counts as often as the sample has it
     cols = [np.frombuffer(e["has"], np.int16).astype(np.int64) for e in examples]
     y, n = (np.array([e[k] for e in examples], float) for k in ("toxic", "n"))
-    w, bias = fit(np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols) if cols else np.zeros(0, np.int64), y, len(chosen), n)
+    rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+    flat = np.concatenate(cols) if cols else np.zeros(0, np.int64)
+    fold = np.array([zlib.crc32(e["has"]) % FOLDS for e in examples], np.int64)
+    w, bias = fit(rows, flat, y, len(chosen), n, choose_penalty(rows, flat, y, len(chosen), n, fold))
     return Model(restorer, chosen, w, bias)
 
 
