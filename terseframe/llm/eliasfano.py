@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
 import tempfile
-import uuid
 
 import numpy as np
 
@@ -147,14 +145,15 @@ def dump(path: str, parts: dict) -> None:
 
 
 def open_mapped(path: str) -> dict:
-    """The parts of a file of :func:`dump` over a memory map; files of remote stores are first copied to the task's own folder."""
+    """The parts of a file of :func:`dump` over a memory map; files of remote stores are first copied to a file of the task that ends with it."""
     store, local = split_uri(path)
     if store.type_name != "local":
-        copy = os.path.join(tempfile.gettempdir(), f"{uuid.uuid4().hex}.map")
-        with open(copy, "wb") as f:
+        with tempfile.NamedTemporaryFile() as f:  # the map outlives the name
             f.write(read_bytes(path))
-        local = copy
-    data = np.memmap(local, np.uint8, "r")
+            f.flush()
+            data = np.memmap(f.name, np.uint8, "r")
+    else:
+        data = np.memmap(local, np.uint8, "r")
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + size].tobytes())
 

@@ -3,15 +3,19 @@
 Words are numbered by the rank of their 64-bit hashes. A trie holds, for the pairs of first and second
 word of its range, three levels: pointers of each word to its successors' place (monotone, Elias-Fano),
 the successors themselves (made monotone by adding the end of the context before, Elias-Fano), and the
-same again for the third words of each pair, beside probabilities quantised to 8 bits. A query finds
-a word among its context's successors: two pointers give the range, a successor search the place.
+same again for the third words of each pair, beside probabilities quantised to 16 bits on one fixed log
+scale. A query finds a word among its context's successors: two pointers give the range, a successor
+search the place. Queries of a slice of texts are distinct and sorted, so they walk the levels in order.
 
 Smoothing is interpolated modified absolute discounting: level k adds its discounted share (alpha) to
 gamma(context) times the level below; the lowest is (c + 0.5) / (N + 0.5 (V + 1)), which keeps a share for
-unknown words. All n-grams of the training texts are in the model, none is pruned.
+unknown words. All n-grams of the training texts are in the model, none is pruned. Discounts come from the
+counts of counts of the whole corpus, so a trie is built in two steps: levels and counts first, and its
+probabilities when all tries' counts are known.
 
-Ranges of pairs are cut so that each trie gets about the same number of tokens, by the product of the
-words' frequencies; so a frequent first word is spread over several tries, and its gamma is the sum
+There is a trie for every :data:`TRIE_TOKENS` tokens, whatever the number of partitions: one corpus has one
+model. Ranges of pairs are cut so that each gets about as many tokens, by the product of the words'
+frequencies; so a frequent first word is spread over several tries, and its gamma is the sum
 over them. Vocabulary and tries are files of the shared folder that every task maps into memory; a
 lookup touches a few pages. Tables between jobs are written, so a lost executor costs its tasks alone.
 
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, held_out, materialise, text_slices
+from .common import fresh_dir, held_out, materialise, scratch, text_slices
 from .eliasfano import EliasFano, dump, open_mapped
 from .textvec import column_bytes, mix, row_counts, span_hashes, words
 
@@ -38,7 +42,11 @@ _U = np.uint64
 END = mix(np.array([0x5EED], np.uint64))[0]
 #: Tokens gathered by a task before it sorts them and sends them off.
 FLUSH = 1_500_000
-SLICE, SCORED = 1 << 20, 3 << 20
+SLICE, SCORED = 1 << 20, 4 << 20
+#: Training tokens of one trie.
+TRIE_TOKENS = 2_000_000
+#: Probabilities down to 10 ** LOWEST have codes.
+LOWEST = -12.0
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -205,27 +213,27 @@ def _unique_rows(cols: list[np.ndarray], n: np.ndarray, bits: int) -> tuple[list
     return [c[first] for c in cols], np.add.reduceat(n, first)
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
+def counts_of_counts(n: np.ndarray) -> list[int]:
+    """How many n-grams occur once, twice, three and four times."""
+    return np.bincount(np.minimum(n, 5).astype(np.int64), minlength=6)[1:5].tolist()
+
+
+def discounts(c: list[int]) -> np.ndarray:
     """Discounts of counts 1, 2 and 3 or more, from the counts of counts (modified absolute discounting)."""
-    c = [float((n == k).sum()) for k in (1, 2, 3, 4)]
     if not c[0] or not c[1]:
         return np.array([0.5, 0.75, 0.9])
     y = c[0] / (c[0] + 2 * c[1])
-    d = np.array([1 - 2 * y * c[1] / c[0], 2 - 3 * y * c[2] / c[1] if c[1] else 1.0, 3 - 4 * y * c[3] / c[2] if c[2] else 1.5])
+    d = np.array([1 - 2 * y * c[1] / c[0], 2 - 3 * y * c[2] / c[1], 3 - 4 * y * c[3] / c[2] if c[2] else 1.5])
     return np.clip(d, 0.05, [0.95, 1.9, 2.85])
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, list[float]]:
-    """Positive numbers to 8 bits, evenly on a log scale from the smallest to the largest."""
-    if not len(x):
-        return np.zeros(0, np.uint8), [0.0, 0.0]
-    lg = np.log10(x)
-    low, high = float(lg.min()), float(lg.max())
-    return np.round((lg - low) / max(high - low, 1e-12) * 255).astype(np.uint8), [low, high]
+def quantised(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1] to 16 bits, evenly on a log scale; 0 becomes the smallest."""
+    return np.round(np.clip(np.log10(np.maximum(x, 10**LOWEST)) / LOWEST, 0, 1) * 65535).astype(np.uint16)
 
 
-def _value(codes: np.ndarray, scale: list[float]) -> np.ndarray:
-    return 10 ** (scale[0] + codes.astype(np.float64) / 255 * max(scale[1] - scale[0], 1e-12))
+def _value(codes: np.ndarray) -> np.ndarray:
+    return 10 ** (codes.astype(np.float64) * (LOWEST / 65535))
 
 
 def _relative(ids: np.ndarray, bounds: np.ndarray) -> EliasFano:
@@ -248,146 +256,135 @@ def _child(level: EliasFano, pointers: EliasFano, context: np.ndarray, word: np.
     return out, lo, hi
 
 
-def build_trie(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> tuple[dict, dict]:
-    """Trie parts and its summary of distinct sorted triples; a third word equal to the vocabulary's size stands for none."""
+def build_levels(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> tuple[dict, list[np.ndarray]]:
+    """Levels of a trie and its counts, of distinct sorted triples; a third word equal to the vocabulary's size stands for none."""
     new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
     first = np.flatnonzero(new)
-    pair_n = np.add.reduceat(n, first)
     a, b = w1[first].astype(np.int64), w2[first]
     low, high = int(a[0]), int(a[-1])
     bounds2 = np.searchsorted(a, np.arange(low, high + 2))
-    single, where1 = np.unique(a, return_inverse=True)
-    context_n = vocabulary.of_ids(single)[where1]
-    d2 = discounts(pair_n)
-    taken2 = d2[np.minimum(pair_n, 3) - 1]
     third = w3 < _U(vocabulary.size)
-    pair_of = np.cumsum(new) - 1
-    n3, p3 = n[third], pair_of[third]
-    bounds3 = np.searchsorted(p3, np.arange(len(first) + 1))
-    total3 = np.bincount(p3, n3, minlength=len(first))
-    d3 = discounts(n3)
-    taken3 = d3[np.minimum(n3, 3) - 1]
-    gamma3 = np.bincount(p3, taken3, minlength=len(first)) / np.maximum(total3, 1)
-    mass2 = np.bincount(a - low, taken2, minlength=high - low + 1)
-    counts = np.zeros(high - low + 1)
-    counts[single - low] = vocabulary.of_ids(single)
-    parts: dict = {"low": low, "high": high, "pointers2": EliasFano.build(bounds2.astype(np.uint64)), "words2": _relative(b, bounds2), "pointers3": EliasFano.build(bounds3.astype(np.uint64)), "words3": _relative(w3[third], bounds3)}
-    for name, x in (("alpha2", np.maximum(pair_n - taken2, 1e-9) / context_n), ("alpha3", np.maximum(n3 - taken3, 1e-9) / total3[p3]), ("gamma3", np.maximum(gamma3, 1e-9)), ("gamma2", np.maximum(mass2 / np.maximum(counts, 1), 1e-9))):
-        parts[name], parts[name + "_scale"] = quantised(x)
-    ends = {low: float(mass2[0]), high: float(mass2[-1])}
-    return parts, {"ends": [[k, v] for k, v in ends.items()], "pairs": len(first), "triples": int(third.sum())}
+    bounds3 = np.searchsorted((np.cumsum(new) - 1)[third], np.arange(len(first) + 1))
+    parts = {"low": low, "high": high, "pointers2": EliasFano.build(bounds2.astype(np.uint64)), "words2": _relative(b, bounds2), "pointers3": EliasFano.build(bounds3.astype(np.uint64)), "words3": _relative(w3[third], bounds3)}
+    return parts, [np.diff(bounds2), np.diff(bounds3), np.add.reduceat(n, first), n[third]]
+
+
+def build_probabilities(low: int, counts: list[np.ndarray], vocabulary: Vocabulary, d2: np.ndarray, d3: np.ndarray) -> tuple[dict, dict[int, float]]:
+    """Quantised probabilities of a trie's levels, and the discounted mass of its first and last word, whose pairs may be in other tries too."""
+    per_word, per_pair, n2, n3 = counts
+    pair_of = np.repeat(np.arange(len(n2)), per_pair)
+    word_of = np.repeat(np.arange(len(per_word)), per_word)
+    taken2, taken3 = d2[np.minimum(n2, 3) - 1], d3[np.minimum(n3, 3) - 1]
+    total3 = np.bincount(pair_of, n3, minlength=len(n2))
+    used = np.flatnonzero(per_word)
+    word_n = np.ones(len(per_word))
+    word_n[used] = vocabulary.of_ids(used + low)
+    mass2 = np.bincount(word_of, taken2, minlength=len(per_word))
+    gamma3 = np.bincount(pair_of, taken3, minlength=len(n2)) / np.maximum(total3, 1)
+    parts = {"alpha2": quantised((n2 - taken2) / word_n[word_of]), "alpha3": quantised((n3 - taken3) / total3[pair_of]), "gamma3": quantised(gamma3), "gamma2": quantised(mass2 / word_n)}
+    return parts, {low: float(mass2[0]), low + len(per_word) - 1: float(mass2[-1])}
 
 
 class Model:
     """A trained model: vocabulary, tries by range of pairs, gammas of words whose pairs are in several tries."""
 
-    def __init__(self, vocabulary: Vocabulary, tries: list[str], shards: int, shared: dict[int, float]):
-        self.vocabulary, self.tries, self.shards, self.shared = vocabulary, tries, shards, shared
-        self.open: dict[int, dict] = {}
+    def __init__(self, vocabulary: Vocabulary, tries: list[tuple[str, str]], shared: dict[int, float]):
+        self.vocabulary, self.tries, self.shared = vocabulary, tries, shared  # by trie: the files of its levels and probabilities
+        self.shards = len(tries)
+        self.open: dict[int, dict | None] = {}
         self.shared_ids = np.array(sorted(shared), np.int64)
         self.shared_gamma = np.array([shared[k] for k in sorted(shared)])
 
     def __reduce__(self):
-        return Model, (self.vocabulary, self.tries, self.shards, self.shared)
+        return Model, (self.vocabulary, self.tries, self.shared)
 
     def trie(self, s: int) -> dict | None:
         if s not in self.open:
-            self.open[s] = open_mapped(self.tries[s]) if self.tries[s] else None
+            self.open[s] = open_mapped(self.tries[s][0]) | open_mapped(self.tries[s][1]) if self.tries[s][0] else None
         return self.open[s]
 
+    def by_trie(self, number: np.ndarray) -> Iterator[tuple[dict, slice]]:
+        """The tries of an ascending list of their numbers and the places of each."""
+        for s in np.unique(number).tolist():
+            if (t := self.trie(s)) is not None:
+                yield t, slice(*np.searchsorted(number, [s, s + 1]))
+
     def unigram(self, n: np.ndarray) -> np.ndarray:
         v = self.vocabulary
         return (n + 0.5) / (v.total + 0.5 * (v.size + 1))
 
-    def gammas(self, context: np.ndarray, n: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """What each context of one word leaves to the level below; 1 for unknown contexts. Ascending contexts."""
-        out = np.ones(len(context))
-        new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-        c, known = context[new], context[new] >= 0
-        value = np.ones(len(new))
-        k = np.minimum(np.searchsorted(self.shared_ids, c), max(len(self.shared_ids) - 1, 0))
-        is_shared = known & (self.shared_ids[k] == c) if len(self.shared_ids) else np.zeros(len(c), bool)
+    def gammas(self, ids: np.ndarray, n: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """What each context of one word leaves to the level below, of ascending known ids."""
+        value = np.ones(len(ids))
+        k = np.minimum(np.searchsorted(self.shared_ids, ids), max(len(self.shared_ids) - 1, 0))
+        is_shared = self.shared_ids[k] == ids if len(self.shared_ids) else np.zeros(len(ids), bool)
         value[is_shared] = self.shared_gamma[k[is_shared]]
         # a word that is no trie's first or last has all its pairs in one trie, that of the middle of its range
-        rest = np.flatnonzero(known & ~is_shared)
-        trie_of = _pair_shard(n[new][rest], before[new][rest], 0, self.vocabulary.total / 2, self.vocabulary.total, self.shards)
-        cut = np.searchsorted(trie_of, np.arange(self.shards + 1))
-        for s in range(self.shards):
-            at = rest[cut[s] : cut[s + 1]]
-            t = self.trie(s) if len(at) else None
-            if t is not None:
-                at = at[(c[at] >= t["low"]) & (c[at] <= t["high"])]
-                value[at] = _value(t["gamma2"][c[at] - t["low"]], t["gamma2_scale"])
-        out[:] = np.repeat(value, np.diff(np.concatenate([new, [len(context)]])))
-        return out
-
-    def probabilities(self, ids: np.ndarray, n: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Probability of each token after the two before it; ``first`` marks the tokens that begin a text, after an end."""
-        v = self.vocabulary
+        rest = np.flatnonzero(~is_shared)
+        total = self.vocabulary.total
+        for t, part in self.by_trie(_pair_shard(n[rest], before[rest], 0, total / 2, total, self.shards)):
+            at = rest[part]
+            at = at[(ids[at] >= t["low"]) & (ids[at] <= t["high"])]
+            value[at] = _value(t["gamma2"][ids[at] - t["low"]])
+        return value
+
+    def probabilities(self, place: np.ndarray, ids: np.ndarray, n: np.ndarray, before: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+        """Probability of each token after the two before it.
+
+        Tokens are places in a list of distinct words (id or -1, count, tokens of smaller ids) in ascending order; ``first``
+        marks the tokens that begin a text, whose context is the word ``end``.
+        """
+        v, many = self.vocabulary, len(ids)
         p1 = self.unigram(n)
-        if not v.total or not len(ids):
-            return p1
-        end_id, end_n, end_before = (x[0] for x in v.lookup(np.array([END])))
-        shift = lambda x, end: np.where(first, end, np.concatenate([[end], x[:-1]]))
-        c_id, c_n, c_before = shift(ids, end_id), shift(n, end_n), shift(before, end_before)
-        trie_of = _pair_shard(c_n, c_before, n, before, v.total, self.shards)
-        trie_of[c_id < 0] = -1
-        # the number of a pair orders pairs as their tries are ordered; an unknown word comes first in its context
-        pair = np.where(c_id >= 0, c_id * (v.size + 1) + ids + 1, -1)
-        trie_of[ids < 0] = -1
-        key, back = np.unique(pair, return_inverse=True)
-        some_token = np.empty(len(key), np.int64)
-        some_token[back] = np.arange(len(pair))
-        known = (c_id >= 0) & (ids >= 0)
-        asked2 = np.flatnonzero(known[some_token])
-        context2, word2, trie2 = c_id[some_token[asked2]], ids[some_token[asked2]], trie_of[some_token[asked2]]
-        place, alpha2 = np.full(len(key), -1, np.int64), np.zeros(len(key))
-        cut = np.searchsorted(trie2, np.arange(self.shards + 1))
-        for s in range(self.shards):
-            a, b = cut[s], cut[s + 1]
-            t = self.trie(s) if a < b else None
-            if t is None:
-                continue
-            inside = np.flatnonzero((context2[a:b] >= t["low"]) & (context2[a:b] <= t["high"])) + a
-            at, _, _ = _child(t["words2"], t["pointers2"], context2[inside] - t["low"], word2[inside])
-            found = at >= 0
-            place[asked2[inside]] = at
-            alpha2[asked2[inside[found]]] = _value(t["alpha2"][at[found]], t["alpha2_scale"])
-        gamma2 = self.gammas(c_id[some_token], c_n[some_token], c_before[some_token])
-        back = back.ravel()
-        p2 = alpha2[back] + gamma2[back] * p1
-        pair_place = place[back]
-        c_place = np.where(first, -1, np.concatenate([[-1], pair_place[:-1]]))
-        c_trie = np.concatenate([[-1], trie_of[:-1]])
-        p3 = p2.copy()
-        asked = np.flatnonzero(c_place >= 0)
-        asked = asked[np.argsort(c_trie[asked], kind="stable")]
-        cut = np.searchsorted(c_trie[asked], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            at = asked[cut[s] : cut[s + 1]]
-            if not len(at):
-                continue
-            t = self.trie(s)
-            context = c_place[at]
-            place3, lo, hi = _child(t["words3"], t["pointers3"], context, ids[at])
-            some = hi > lo
-            at, context, place3 = at[some], context[some], place3[some]
-            p = _value(t["gamma3"][context], t["gamma3_scale"]) * p2[at]
-            hit = place3 >= 0
-            p[hit] += _value(t["alpha3"][place3[hit]], t["alpha3_scale"])
-            p3[at] = p
-        return np.minimum(p3, 1.0)
+        if not v.total or not len(place):
+            return p1[place]
+        context = np.where(first, end, np.concatenate([[end], place[:-1]]))
+        pair, some, back = np.unique(context * many + place, return_index=True, return_inverse=True)
+        c, w = context[some], place[some]
+        asked = np.flatnonzero((ids[c] >= 0) & (ids[w] >= 0))
+        trie_of = np.full(len(pair), -1)
+        trie_of[asked] = _pair_shard(n[c[asked]], before[c[asked]], n[w[asked]], before[w[asked]], v.total, self.shards)
+        found, p2 = np.full(len(pair), -1, np.int64), np.zeros(len(pair))
+        for t, part in self.by_trie(trie_of[asked]):
+            at = asked[part]
+            at = at[(ids[c[at]] >= t["low"]) & (ids[c[at]] <= t["high"])]
+            got = _child(t["words2"], t["pointers2"], ids[c[at]] - t["low"], ids[w[at]])[0]
+            found[at] = got
+            p2[at[got >= 0]] = _value(t["alpha2"][got[got >= 0]])
+        known = np.flatnonzero(ids >= 0)
+        gamma = np.ones(many)
+        gamma[known] = self.gammas(ids[known], n[known], before[known])
+        p2 += gamma[c] * p1[w]
+        p = p2[back]
+        # the pair before each token that is not its text's first; distinct triples in the order of tries and places
+        later = np.flatnonzero(~first)
+        later = later[found[back[later - 1]] >= 0]
+        if not len(later):
+            return np.minimum(p, 1.0)
+        _, some, again = np.unique(back[later - 1] * many + place[later], return_index=True, return_inverse=True)
+        token = later[some]
+        before_pair, word, p3 = back[token - 1], ids[place[token]], p[token]
+        for t, part in self.by_trie(trie_of[before_pair]):
+            at = found[before_pair[part]]
+            got, lo, hi = _child(t["words3"], t["pointers3"], at, word[part])
+            own = p3[part] * np.where(hi > lo, _value(t["gamma3"][at]), 1)
+            own[got >= 0] += _value(t["alpha3"][got[got >= 0]])
+            p3[part] = own
+        p[later] = p3[again]
+        return np.minimum(p, 1.0)
 
 
 def train(docs: DataFrame) -> Model:
-    """The model of all texts of ``docs`` (text); as many tries as shuffle partitions."""
+    """The model of all texts of ``docs`` (text)."""
     spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    vocabulary = train_vocabulary(docs, shards)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    vocabulary = train_vocabulary(docs, parts)
     if not vocabulary.total:
-        return Model(vocabulary, [""] * shards, shards, {})
+        return Model(vocabulary, [("", "")], {})
+    shards = -(-vocabulary.total // TRIE_TOKENS)
     folder = fresh_dir(spark, "lm-tries")
     bits = (vocabulary.size + 1).bit_length()
+    end_of = lambda: tuple(x[0] for x in vocabulary.lookup(np.array([END])))
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -408,7 +405,7 @@ def train(docs: DataFrame) -> Model:
         size = 0
         for part in text_slices(batches, most=SLICE):
             place, ids, n, before, at = _numbered(part.column(0), vocabulary)
-            end_id, end_n, end_before = (x[0] for x in vocabulary.lookup(np.array([END])))
+            end_id, end_n, end_before = end_of()
             first = np.zeros(len(place), bool)
             first[at[:-1]] = True
             last = np.zeros(len(place), bool)
@@ -431,20 +428,35 @@ def train(docs: DataFrame) -> Model:
         for s, runs in _receive(batches):
             cols = [np.concatenate([r[0][0] + np.cumsum(r[1], dtype=np.uint64) for r in runs]), np.concatenate([r[2] for r in runs]).astype(np.uint64), np.concatenate([r[3] for r in runs]).astype(np.uint64)]
             rows, n = _unique_rows(cols, np.concatenate([r[4] for r in runs]).astype(np.int64), bits)
-            parts, summary = build_trie(*rows, n, vocabulary)
-            path = f"{folder}/{s}-{np.random.default_rng().integers(1 << 62):x}.trie"
-            dump(path, parts)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([path]), pa.array([json.dumps(summary)])], names=["shard", "path", "summary"])
-
-    sent = docs.select("text").mapInArrow(events, RUN).repartitionById(shards, "shard").sortWithinPartitions("shard")
-    made = {r["shard"]: (r["path"], json.loads(r["summary"])) for r in materialise(sent.mapInArrow(write, "shard int, path string, summary string"), "lm-made").collect()}
-    mass: dict[int, list[float]] = {}
-    for _, summary in made.values():
-        for word, m in summary["ends"]:
-            mass.setdefault(word, []).append(m)
+            levels, counts = build_levels(*rows, n, vocabulary)
+            path = f"{folder}/{s}-{np.random.default_rng().integers(1 << 62):x}.levels"
+            dump(path, levels)
+            b = _send(s, [c.astype(np.uint32) for c in counts])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([path]), pa.array([levels["low"]], pa.int64()), pa.array([counts_of_counts(counts[2])], pa.list_(pa.int64())), pa.array([counts_of_counts(counts[3])], pa.list_(pa.int64()))], names=[*b.schema.names, "path", "low", "of2", "of3"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                counts = [x.astype(np.int64) for x in next(_receive(iter([b.slice(i, 1)])))[1][0]]
+                probabilities, ends = build_probabilities(b.column(5)[i].as_py(), counts, vocabulary, d2, d3)
+                path = f"{folder}/{b.column(0)[i]}-{np.random.default_rng().integers(1 << 62):x}.probabilities"
+                dump(path, probabilities)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(4).slice(i, 1), pa.array([path]), pa.array([list(ends)], pa.list_(pa.int64())), pa.array([list(ends.values())], pa.list_(pa.float64()))], names=["shard", "levels", "probabilities", "ends", "mass"])
+
+    with scratch(spark) as stay:
+        stay.append(folder)
+        sent = docs.select("text").mapInArrow(events, RUN).repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard")
+        levels = materialise(sent.mapInArrow(write, RUN + ", path string, low long, of2 array<long>, of3 array<long>"), "lm-levels")
+        sums = levels.select(*[F.sum(F.get(c, F.lit(k))) for c in ("of2", "of3") for k in range(4)]).first()
+        d2, d3 = discounts(list(sums[:4])), discounts(list(sums[4:]))
+        made = {r["shard"]: r for r in materialise(levels.repartition(parts, "shard").mapInArrow(finish, "shard int, levels string, probabilities string, ends array<long>, mass array<double>"), "lm-made").collect()}
+    mass: dict[int, float] = {}
+    for s in sorted(made):
+        for word, m in zip(made[s]["ends"], made[s]["mass"], strict=True):
+            mass[word] = mass.get(word, 0.0) + m
     split = sorted(mass)  # every word that begins or ends a trie
     n = vocabulary.of_ids(np.array(split, np.int64))
-    return Model(vocabulary, [made.get(s, ("",))[0] for s in range(shards)], shards, {w: sum(mass[w]) / int(k) for w, k in zip(split, n, strict=True)})
+    return Model(vocabulary, [(made[s]["levels"], made[s]["probabilities"]) if s in made else ("", "") for s in range(shards)], {w: mass[w] / int(k) for w, k in zip(split, n, strict=True)})
 
 
 SCORES = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -458,7 +470,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             place, ids, n, before, at = _numbered(part.column(2), model.vocabulary)
             first = np.zeros(len(place), bool)
             first[at[:-1]] = True
-            p = model.probabilities(ids[place], n[place], before[place], first)
+            p = model.probabilities(place, ids, n, before, first, int(place[at[1] - 1]))
             sums = lambda x: np.add.reduceat(x, at[:-1])
             columns = [np.diff(at), sums((n > 0)[place].astype(np.int64)), np.full(part.num_rows, model.vocabulary.total), sums(np.log10(model.unigram(n))[place]), sums(np.log10(p))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c) for c in columns)], names=["doc_id", "held_out", *SCORES])

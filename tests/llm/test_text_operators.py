@@ -131,14 +131,64 @@ def test_probabilities_sum_to_one(lm):
     hashes = np.sort(np.concatenate([model.vocabulary.part(s)["hashes"].access(np.arange(m[1])) for s, m in enumerate(v.manifest) if m[1]]))
     ids, n, before = v.lookup(hashes)
     assert (ids == np.arange(v.size)).all()
+    end = int(np.searchsorted(hashes, ngramlm.END))
+    ids, n, before = np.append(ids, -1), np.append(n, 0), np.append(before, 0)  # and an unknown word
     for a, b in ((0, 1), (2, 3), (4, 4), (5, 0)):
-        total = 0.0
-        for k in [*range(v.size), -1]:
-            seq = [a, b, k]
-            x = np.array([ids[j] if j >= 0 else -1 for j in seq])
-            p = model.probabilities(x, np.array([n[j] if j >= 0 else 0 for j in seq]), np.array([before[j] if j >= 0 else 0 for j in seq]), np.array([True, False, False]))
-            total += p[2]
-        assert abs(total - 1) < 0.05  # 8-bit shares
+        total = sum(model.probabilities(np.array([a, b, k]), ids, n, before, np.array([True, False, False]), end)[2] for k in range(v.size + 1))
+        assert abs(total - 1) < 1e-3  # 16-bit shares
+
+
+def trigram_scores(texts, train):
+    """The smoothed model by dictionaries."""
+    toks = [[lower(w) for w in SPACE.findall(t or "")] + ["</s>"] for t in texts]
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    for w in (toks[i] for i in train):
+        c1.update(w)
+        c2.update(zip(["</s>", *w], w, strict=False))
+        c3.update(zip(["</s>", *w], w, w[1:], strict=False))
+
+    def cut(c):
+        k = [sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]
+        if not k[0] or not k[1]:
+            return [0.5, 0.75, 0.9]
+        y = k[0] / (k[0] + 2 * k[1])
+        d = [1 - 2 * y * k[1] / k[0], 2 - 3 * y * k[2] / k[1], 3 - 4 * y * k[3] / k[2] if k[2] else 1.5]
+        return [min(max(x, 0.05), m) for x, m in zip(d, (0.95, 1.9, 2.85), strict=True)]
+
+    d2, d3, total, size = cut(c2), cut(c3), sum(c1.values()), len(c1)
+    after1, after2, full2 = Counter(), Counter(), Counter()
+    for (a, _), x in c2.items():
+        after1[a] += d2[min(x, 3) - 1]
+    for (a, b, _), x in c3.items():
+        after2[a, b] += d3[min(x, 3) - 1]
+        full2[a, b] += x
+
+    def p(a, b, w):
+        out = (c1[w] + 0.5) / (total + 0.5 * (size + 1))
+        if c1[b]:
+            x = c2[b, w]
+            out = (x - d2[min(x, 3) - 1] if x else 0) / c1[b] + after1[b] / c1[b] * out
+        if a is not None and full2[a, b]:
+            x = c3[a, b, w]
+            out = (x - d3[min(x, 3) - 1] if x else 0) / full2[a, b] + after2[a, b] / full2[a, b] * out
+        return out
+
+    return [sum(np.log10(p("</s>" if i == 1 else w[i - 2] if i > 1 else None, w[i - 1] if i else "</s>", x)) for i, x in enumerate(w)) for w in toks]
+
+
+def test_scores_by_brute_force(lm, spark, monkeypatch):
+    """One corpus has one model: by dictionaries, in one trie or many, with few or many partitions."""
+    rows, docs, _ = lm
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    want = trigram_scores([t for _, t in rows], train)
+    for tokens, parts in ((ngramlm.TRIE_TOKENS, "4"), (150, "4"), (150, "32")):
+        monkeypatch.setattr(ngramlm, "TRIE_TOKENS", tokens)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r["doc_id"]: r["score"] for r in ngramlm.score_held_out(docs.repartition(int(parts))).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert all(abs(got[i] - want[i]) <= 1e-3 * abs(want[i]) for i, _ in rows)
 
 
 def test_lm_edges(spark):
