@@ -63,6 +63,7 @@ class EliasFano:
     def __init__(self, n: int, width: int, arrays: dict[str, np.ndarray]):
         self.n, self.width = n, width
         self.low, self.high, self.rank, self.hint, self.skip = (arrays[f] for f in self.FIELDS)
+        self.most = int(self.access(np.array([n - 1]))[0] >> _U(width)) if n else 0  # the largest high part
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -76,35 +77,103 @@ class EliasFano:
         bits[highs + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
         rank = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype(np.uint32)
-        hint = ((highs + np.arange(n))[:: 1 << HINT] >> 6).astype(np.uint32)
+        hint = np.append((highs + np.arange(n))[:: 1 << HINT] >> 6, len(high) - 1).astype(np.uint32)
         skip = np.searchsorted(highs, np.arange(0, most + (2 << SKIP), 1 << SKIP)).astype(np.uint32)
         return cls(n, width, {"low": pack(values, width), "high": high, "rank": rank, "hint": hint, "skip": skip})
 
+    def _select(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word of the high part, and place in it, of each element's bit."""
+        w, last = self.hint[i >> HINT].astype(np.int64), self.hint[(i >> HINT) + 1].astype(np.int64)
+        todo = np.flatnonzero(w < last)
+        while len(todo):
+            mid = (w[todo] + last[todo]) >> 1
+            after = self.rank[mid + 1] <= i[todo]
+            w[todo] = np.where(after, mid + 1, w[todo])
+            last[todo] = np.where(after, last[todo], mid)
+            todo = todo[w[todo] < last[todo]]
+        return w, select_in_word(self.high[w], i - self.rank[w])
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at places ``i``, each in [0, n)."""
         if not len(i):
             return np.zeros(0, np.uint64)
-        w = self.hint[i >> HINT].astype(np.int64)
-        todo = np.flatnonzero(self.rank[w + 1] <= i)
-        while len(todo):
-            w[todo] += 1
-            todo = todo[self.rank[w[todo] + 1] <= i[todo]]
-        place = w * 64 + select_in_word(self.high[w], i - self.rank[w]).astype(np.int64)
-        return ((place - i).astype(np.uint64) << _U(self.width)) | unpack(self.low, self.width, i)
+        w, bit = self._select(i)
+        return ((w * 64 - i).astype(np.uint64) + bit << _U(self.width)) | unpack(self.low, self.width, i)
 
-    def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """First place in [lo, hi) whose value is at least x, or hi."""
-        k = np.minimum((x >> _U(self.width + SKIP)).astype(np.int64), len(self.skip) - 2)
-        a = np.clip(self.skip[k].astype(np.int64), lo, hi)
-        b = np.clip(self.skip[k + 1].astype(np.int64), lo, hi)
+    def access_pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places ``i`` and ``i + 1``, both in [0, n); the second bit is mostly in the first one's word."""
+        if not len(i):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        w, bit = self._select(i)
+        rest = (self.high[w] >> bit) & ~_U(1)
+        start = (w * 64 - i).astype(np.uint64) + bit
+        step = np.bitwise_count((rest & (~rest + _U(1))) - _U(1)).astype(np.uint64)
+        first = (start << _U(self.width)) | unpack(self.low, self.width, i)
+        second = (start + step - _U(1) << _U(self.width)) | unpack(self.low, self.width, i + 1)
+        far = np.flatnonzero(rest == 0)
+        second[far] = self.access(i[far] + 1)
+        return first, second
+
+    def _upto(self, h: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Number of elements whose high part is at most ``h``, by a search for its zero between the words of directory entries k and k + 1."""
+        lo = (self.skip[k].astype(np.int64) + (k << SKIP)) >> 6
+        hi = np.minimum((self.skip[k + 1].astype(np.int64) + (k + 1 << SKIP)) >> 6, len(self.high) - 1)
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):
+            mid = (lo[todo] + hi[todo] + 1) >> 1
+            before = mid * 64 - self.rank[mid] <= h[todo]
+            lo[todo] = np.where(before, mid, lo[todo])
+            hi[todo] = np.where(before, hi[todo], mid - 1)
+            todo = todo[lo[todo] < hi[todo]]
+        return lo * 64 + select_in_word(~self.high[lo], h - (lo * 64 - self.rank[lo])).astype(np.int64) - h
+
+    def _high_range(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places [a, b) of the elements whose high part is ``h``, mostly from one window of 64 bits of the unary code."""
+        last = len(self.skip) - 2
+        k = np.minimum(h >> SKIP, last)
+        e = self.skip[k].astype(np.int64)
+        at = e + (k << SKIP)
+        w = np.minimum(at >> 6, len(self.high) - 1)
+        s = (at & 63).astype(np.uint64)
+        after = self.high[np.minimum(w + 1, len(self.high) - 1)]
+        zeros = ~((self.high[w] >> s) | np.where(s > 0, after << ((_U(64) - s) & _U(63)), _U(0)))
+        r = h - (k << SKIP)
+        a = np.zeros(len(h), np.int64)
+        for j in range((1 << SKIP) - 1):
+            more = np.flatnonzero(r > j)
+            z = zeros[more]
+            low = z & (~z + _U(1))
+            a[more] = np.bitwise_count(low - _U(1)).astype(np.int64) + 1
+            zeros[more] = z ^ low
+        b = np.bitwise_count((zeros & (~zeros + _U(1))) - _U(1)).astype(np.int64)
+        beyond = (r >= 1 << SKIP) | (h > self.most)
+        a, b = np.where(beyond, self.n, e + a - r), np.where(beyond, self.n, e + b - r)
+        far = np.flatnonzero(~beyond & ((zeros == 0) | (w + 1 >= len(self.high))))  # codes longer than the window, or at its end
+        if len(far):
+            b[far] = self._upto(h[far], k[far])
+            a[far] = np.where(h[far] > 0, self._upto(np.maximum(h[far] - 1, 0), np.maximum(h[far] - 1, 0) >> SKIP), 0)
+        return a, b
+
+    def _search(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place in [lo, hi) whose value is at least x, or hi; and whether it is x."""
+        a, b = self._high_range((x >> _U(self.width)).astype(np.int64))
+        a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
+        end, low = b.copy(), x & _U((1 << self.width) - 1)
         todo = np.flatnonzero(a < b)
         while len(todo):
             mid = (a[todo] + b[todo]) >> 1
-            less = self.access(mid) < x[todo]
+            less = unpack(self.low, self.width, mid) < low[todo]
             a[todo] = np.where(less, mid + 1, a[todo])
             b[todo] = np.where(less, b[todo], mid)
             todo = todo[a[todo] < b[todo]]
-        return a
+        found = np.zeros(len(x), bool)
+        some = np.flatnonzero(a < end)
+        found[some] = unpack(self.low, self.width, a[some]) == low[some]
+        return a, found
+
+    def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """First place in [lo, hi) whose value is at least x, or hi."""
+        return self._search(x, lo, hi)[0]
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Place of x in [lo, hi), or -1."""
@@ -112,11 +181,8 @@ class EliasFano:
             return np.full(len(x), -1, np.int64)
         lo = np.zeros(len(x), np.int64) if lo is None else lo
         hi = np.full(len(x), self.n, np.int64) if hi is None else hi
-        at = self.successor(x, lo, hi)
-        ok = np.flatnonzero(at < hi)
-        out = np.full(len(x), -1, np.int64)
-        out[ok] = np.where(self.access(at[ok]) == x[ok], at[ok], -1)
-        return out
+        at, found = self._search(x, lo, hi)
+        return np.where(found, at, -1)
 
 
 def dump(path: str, parts: dict) -> None:

@@ -121,8 +121,10 @@ class Vocabulary:
 
     def _counts(self, s: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = self.part(s)["ends"]
-        end = ends.access(at).astype(np.int64)
-        before = np.where(at > 0, ends.access(np.maximum(at - 1, 0)).astype(np.int64), 0)
+        before, end = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        head = at == 0
+        end[head] = ends.access(at[head]).astype(np.int64)
+        before[~head], end[~head] = (x.astype(np.int64) for x in ends.access_pairs(at[~head] - 1))
         return end - before, before + self.first_cum[s]
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,20 +199,24 @@ def _numbered(col: pa.Array, vocabulary: Vocabulary):
     return place, *vocabulary.lookup(distinct), at
 
 
-def _unique_rows(cols: list[np.ndarray], n: np.ndarray, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct triples in order, with summed counts."""
-    if not len(n):
-        return cols, n
-    if 3 * bits <= 64:
-        key = (cols[0].astype(np.uint64) << _U(2 * bits)) | (cols[1].astype(np.uint64) << _U(bits)) | cols[2].astype(np.uint64)
-        key, n = _sum_by(key, n)
-        most = _U((1 << bits) - 1)
-        return [key >> _U(2 * bits), (key >> _U(bits)) & most, key & most], n
-    order = np.lexsort(cols[::-1])
-    cols, n = [c[order].astype(np.uint64) for c in cols], n[order]
-    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
-    first = np.flatnonzero(new)
-    return [c[first] for c in cols], np.add.reduceat(n, first)
+def _order(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by their columns, and where in it a new row begins."""
+    if not len(cols[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = [int(c.min()) for c in cols]
+    wide = [(int(c.max()) - x).bit_length() for c, x in zip(cols, low, strict=True)]
+    if sum(wide) > 64:  # numbers within the rows at hand take fewer bits
+        cols = [np.unique(c, return_inverse=True)[1] for c in cols]
+        low, wide = [0] * len(cols), [int(c.max()).bit_length() for c in cols]
+    if sum(wide) > 64:
+        order = np.lexsort(cols[::-1])
+        return order, np.flatnonzero(np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in cols], axis=0)]))
+    key = np.zeros(len(cols[0]), np.uint64)
+    for c, x, w in zip(cols, low, wide, strict=True):
+        key = (key << _U(w)) | (c - c.dtype.type(x)).astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
 
 
 def counts_of_counts(n: np.ndarray) -> list[int]:
@@ -245,15 +251,21 @@ def _relative(ids: np.ndarray, bounds: np.ndarray) -> EliasFano:
     return EliasFano.build(ids + np.repeat(base, np.diff(bounds)))
 
 
-def _child(level: EliasFano, pointers: EliasFano, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of ``word`` among its context's successors or -1, range start, range end)."""
-    lo, hi = pointers.access(context).astype(np.int64), pointers.access(context + 1).astype(np.int64)
+def _child(level: EliasFano, pointers: EliasFano, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of ``word`` among its context's successors or -1, whether the context has any), of ascending contexts and known words."""
+    if not len(context):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    new = np.concatenate([[True], context[1:] != context[:-1]])
+    lo, hi = (x.astype(np.int64) for x in pointers.access_pairs(context[new]))
+    base = np.zeros(len(lo), np.uint64)
+    some = np.flatnonzero((hi > lo) & (lo > 0))
+    base[some] = level.access(lo[some] - 1) + _U(1)
+    of = np.cumsum(new) - 1
     out = np.full(len(context), -1, np.int64)
-    some = np.flatnonzero((hi > lo) & (word >= 0))
-    if len(some):
-        base = np.where(lo[some] > 0, level.access(np.maximum(lo[some] - 1, 0)) + _U(1), _U(0))
-        out[some] = level.find(base + word[some].astype(np.uint64), lo[some], hi[some])
-    return out, lo, hi
+    asked = np.flatnonzero((hi > lo)[of])
+    own = of[asked]
+    out[asked] = level.find(base[own] + word[asked].astype(np.uint64), lo[own], hi[own])
+    return out, (hi > lo)[of]
 
 
 def build_levels(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> tuple[dict, list[np.ndarray]]:
@@ -339,8 +351,8 @@ class Model:
         if not v.total or not len(place):
             return p1[place]
         context = np.where(first, end, np.concatenate([[end], place[:-1]]))
-        pair, some, back = np.unique(context * many + place, return_index=True, return_inverse=True)
-        c, w = context[some], place[some]
+        pair, back = np.unique(context * many + place, return_inverse=True)
+        c, w = np.divmod(pair, many)
         asked = np.flatnonzero((ids[c] >= 0) & (ids[w] >= 0))
         trie_of = np.full(len(pair), -1)
         trie_of[asked] = _pair_shard(n[c[asked]], before[c[asked]], n[w[asked]], before[w[asked]], v.total, self.shards)
@@ -361,13 +373,18 @@ class Model:
         later = later[found[back[later - 1]] >= 0]
         if not len(later):
             return np.minimum(p, 1.0)
-        _, some, again = np.unique(back[later - 1] * many + place[later], return_index=True, return_inverse=True)
-        token = later[some]
+        triple, again = np.unique(back[later - 1] * many + place[later], return_inverse=True)
+        token = np.empty(len(triple), np.int64)
+        token[again] = later  # any of a triple's tokens
         before_pair, word, p3 = back[token - 1], ids[place[token]], p[token]
         for t, part in self.by_trie(trie_of[before_pair]):
             at = found[before_pair[part]]
-            got, lo, hi = _child(t["words3"], t["pointers3"], at, word[part])
-            own = p3[part] * np.where(hi > lo, _value(t["gamma3"][at]), 1)
+            # a word unknown to the vocabulary has no pair before it, but may come after one
+            known = np.flatnonzero(word[part] >= 0)
+            got, some = np.full(len(at), -1, np.int64), np.ones(len(at), bool)
+            got[known], some[known] = _child(t["words3"], t["pointers3"], at[known], word[part][known])
+            own = p3[part].copy()
+            own[some] *= _value(t["gamma3"][at[some]])
             own[got >= 0] += _value(t["alpha3"][got[got >= 0]])
             p3[part] = own
         p[later] = p3[again]
@@ -390,17 +407,17 @@ def train(docs: DataFrame) -> Model:
         held: list[list[np.ndarray]] = []
 
         def sent():
-            s, a, b, c = (np.concatenate([x[k] for x in held]) for k in range(4))
-            order = np.argsort(s, kind="stable")
-            s, a, b, c = s[order], a[order], b[order], c[order]
-            cut = np.searchsorted(s, np.arange(shards + 1))
+            s, *cols = (np.concatenate([x[k] for x in held]) for k in range(4))
+            order, first = _order(cols)  # tries are ranges of pairs, so the order of triples is that of tries
+            n = np.diff(np.append(first, len(order))).astype(np.uint32)
+            at = order[first]
+            cut = np.searchsorted(s[at], np.arange(shards + 1))
+            kind = np.uint32 if bits <= 32 else np.uint64
             for k in range(shards):
                 if cut[k] < cut[k + 1]:
-                    part = slice(cut[k], cut[k + 1])
-                    rows, n = _unique_rows([a[part], b[part], c[part]], np.ones(cut[k + 1] - cut[k], np.int64), bits)
-                    kind = np.uint32 if bits <= 32 else np.uint64
-                    step = np.diff(rows[0], prepend=rows[0][:1]).astype(kind)
-                    yield _send(k, [rows[0][:1].astype(np.uint64), step, rows[1].astype(kind), rows[2].astype(kind), n.astype(np.uint32)])
+                    part = at[cut[k] : cut[k + 1]]
+                    w = [c[part] for c in cols]
+                    yield _send(k, [w[0][:1].astype(np.uint64), np.diff(w[0], prepend=w[0][:1]).astype(kind), w[1].astype(kind), w[2].astype(kind), n[cut[k] : cut[k + 1]]])
 
         size = 0
         for part in text_slices(batches, most=SLICE):
@@ -427,8 +444,9 @@ def train(docs: DataFrame) -> Model:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, runs in _receive(batches):
             cols = [np.concatenate([r[0][0] + np.cumsum(r[1], dtype=np.uint64) for r in runs]), np.concatenate([r[2] for r in runs]).astype(np.uint64), np.concatenate([r[3] for r in runs]).astype(np.uint64)]
-            rows, n = _unique_rows(cols, np.concatenate([r[4] for r in runs]).astype(np.int64), bits)
-            levels, counts = build_levels(*rows, n, vocabulary)
+            order, first = _order(cols)
+            n = np.add.reduceat(np.concatenate([r[4] for r in runs])[order].astype(np.int64), first)
+            levels, counts = build_levels(*(c[order[first]] for c in cols), n, vocabulary)
             path = f"{folder}/{s}-{np.random.default_rng().integers(1 << 62):x}.levels"
             dump(path, levels)
             b = _send(s, [c.astype(np.uint32) for c in counts])
