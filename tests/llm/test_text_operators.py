@@ -11,6 +11,7 @@ from datetime import date
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from terseframe.llm import chat, decontam, eliasfano, mixing, ngramlm, pii, secrets, syncmers, toxicity, warc
 from terseframe.llm.textvec import column_bytes, row_counts, shingles, span_hashes, words
@@ -542,6 +543,10 @@ def test_leaks(spark):
     for block in (20_000, 7):  # one index, several blocks
         paths = decontam.build_index(bench, block)
         assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, paths).collect()} == want
+    nulls = spark.createDataFrame([(None, " ".join(items[min(i for _, i in want)])), (5, None)], "item_id long, text string")
+    assert {r["item_id"] for r in decontam.find_leaks(docs, decontam.build_index(nulls)).collect()} == {None}
+    named = decontam.build_index(bench.select(F.concat(F.lit("i"), "item_id").alias("item_id"), "text"))
+    assert {(r["doc_id"], int(r["item_id"][1:])) for r in decontam.find_leaks(docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"), named).selectExpr("int(substr(doc_id, 2)) as doc_id", "item_id").collect()} == want
     kept = decontam.clean_documents(docs, paths)
     assert kept.count() == len(rows) - len({d for d, _ in want}) and kept.columns == docs.columns
     assert decontam.find_leaks(docs, decontam.build_index(bench.limit(0))).count() == 0 and decontam.find_leaks(docs.limit(0), paths).count() == 0
@@ -549,10 +554,47 @@ def test_leaks(spark):
 
 def test_blocks_find_all_in_radius():
     rng = np.random.default_rng(1)
-    index = decontam.Index(list(range(50)), np.full(50, 10), rng.integers(0, 2**63, 300, dtype=np.uint64), np.arange(0, 301, 6))
+    none = np.zeros(0, np.uint64)
+    index = decontam.Index(list(range(50)), np.full(50, 10), rng.integers(0, 2**63, 300, dtype=np.uint64), np.arange(0, 301, 6), none, none.astype(float), 1.0)
     for _ in range(200):
-        f = int(index.prints[rng.integers(50)])
-        for b in rng.choice(64, rng.integers(0, decontam.RADIUS + 3), replace=False):
-            f ^= 1 << int(b)
-        want = [i for i in range(50) if (int(index.prints[i]) ^ f).bit_count() <= decontam.RADIUS]
-        assert index.within(f).tolist() == want
+        f = np.unpackbits(index.prints[rng.integers(50)].view(np.uint8), bitorder="little")
+        f[rng.choice(256, rng.integers(0, decontam.RADIUS + 6), replace=False)] ^= 1
+        f = np.packbits(f, bitorder="little").view(np.uint16)
+        want = np.flatnonzero(np.bitwise_count(index.prints ^ f).sum(1) <= decontam.RADIUS)
+        assert index.within(f).tolist() == want.tolist()
+
+
+def test_leaks_equal_all_windows_of_all_items(spark):
+    """Random near copies: inserted, dropped and changed words, repeated shingles, items with common templates; several blocks weigh as one."""
+    rng = random.Random(21)
+    template = [f"t{k}" for k in range(12)]
+    items = [template * (i % 4 == 0) + [f"v{rng.randint(0, 60)}" for _ in range(rng.randint(3, 40))] + ["la"] * (8 * (i % 7 == 0)) for i in range(60)]
+    docs = []
+    for _ in range(500):
+        w = list(rng.choice(items))
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(w)) if w else 0
+            w[k : k + rng.randint(0, 1)] = [f"v{rng.randint(0, 60)}"] * rng.randint(0, 2)
+        docs.append(template * rng.randint(0, 1) + [f"v{rng.randint(0, 60)}" for _ in range(rng.randint(0, 30))] + w + ["la"] * rng.randint(0, 9))
+    cut = lambda w: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+    df = Counter(x for w in items for x in set(cut(w)))
+    weigh = lambda xs: sum(np.log1p(len(items) / max(1, df[x])) for x in xs)
+    want = {}
+    for d, w in enumerate(docs):
+        for i, item in enumerate(items):
+            goal, best = set(cut(item)), 0
+            shingles_ = cut(w)
+            many = min(max(1, len(item) - 4), len(shingles_))
+            for s in range(len(shingles_) - many + 1):
+                own = set(shingles_[s : s + many])
+                if own & goal:
+                    best = max(best, 2 * weigh(own & goal) / (weigh(own) + weigh(goal)))
+            if best >= 0.8 - 1e-12:
+                want[d, i] = best
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    for block in (20_000, 9):
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.find_leaks(rows, decontam.build_index(bench, block)).collect()}
+        assert got.keys() <= want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+        lost = [want[k] for k in want.keys() - got.keys()]
+        assert len(want) > 200 and len(lost) <= 0.002 * len(want), lost
