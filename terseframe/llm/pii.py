@@ -7,17 +7,20 @@ by place, modulo the radices), and the result is written in the original's layou
 the format, so equal values stay equal in all documents and different ones stay different.
 
 ==========  =====================================================================================
-email       letters and digits of the local part, each within its class; the domain stays
+email       letters and digits of the local part, each within its class; the domain stays. Parts are as
+            long as addresses allow: 64 characters before the sign, labels of 63, 127 labels
 ip          all four octets
 date        year-month-day, month/day/year (day/month/year where the first is over 12) and
-            day.month.year: days of the 400 years from 1800; one day has one pseudonym in all layouts
+            day.month.year; one day has one pseudonym in all layouts, among the days of its 400 years (1800 to
+            2199, and those before and after) that are over 12 as well or are not, so no two days share one
 ssn         area (001-899 but 666), group (01-99) and serial (0001-9999)
 phone       the last ten digits; the first digits of area and exchange stay in 2-9 or in 0-1
 iban        letters and digits after the check digits, if those are right; they are made anew
 card        13 to 19 digits that pass the Luhn test: all between the first and the check digit
 ==========  =====================================================================================
 
-What fails validation stays as it is. Defined cases: a null text stays null and an empty one empty;
+What fails validation stays as it is. The key is the caller's; who has it can invert the pseudonyms. No
+pattern repeats a group without a bound, so long texts do not exhaust the stack. Defined cases: a null text stays null and an empty one empty;
 repeated rows get equal texts; texts are searched whole; extra columns pass through; output columns
 replace equal names.
 """
@@ -27,15 +30,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "terseframe-demo-key"
+from .common import unused
+
 ROUNDS = 10
-FIRST_DAY, DAYS, DAY_LOW = "1800-01-01", 146097, 773  # 400 years; 146097 = 189 * 773
+#: Steps of a walk along the permutation of months and days over 12 until it meets a day that exists (97 % of them do).
+WALK = 16
 
 _FREE = r"(?<![0-9A-Za-z])"
 _END = r"(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "date": rf"(?<![0-9A-Za-z/.-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}})(?![0-9A-Za-z]|[/-][0-9])",
     "ssn": rf"(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z]|-[0-9])",
@@ -55,7 +60,7 @@ def _hex(h: Column, at: Column) -> Column:
     return F.conv(F.substr(h, (at % 10) * 6 + 1, F.lit(6)), 16, 10).cast("int")
 
 
-def feistel(values: Column, radices: Column, tweak: Column, key: str = KEY) -> Column:
+def feistel(values: Column, radices: Column, tweak: Column, key: str) -> Column:
     """Permute ``values`` (array<int>, each below its radix) among all lists with these radices and this tweak."""
     n = F.size(values)
     half = F.floor(n / 2).cast("int")
@@ -102,14 +107,14 @@ def _by_class(c: Column) -> Column:
     )
 
 
-def _permute_chars(places: Column, tweak: str) -> Column:
+def _permute_chars(places: Column, tweak: str, key: str) -> Column:
     """Text of the places after permutation; the layout (radices and bases) is part of the tweak."""
 
     def moved(p: Column) -> Column:
         shape = F.concat_ws("|", F.lit(tweak), F.array_join(F.transform(p, lambda x: F.concat_ws(":", x["r"].cast("string"), F.when(x["r"] > 1, x["b"]).otherwise(0).cast("string"))), ","))
         # places of radix 1 would be idle halves of the network, so only the others take part
         free = F.filter(p, lambda x: x["r"] > 1)
-        out = feistel(F.transform(free, lambda x: x["v"]), F.transform(free, lambda x: x["r"]), shape)
+        out = feistel(F.transform(free, lambda x: x["v"]), F.transform(free, lambda x: x["r"]), shape, key)
         rank = lambda i: F.size(F.filter(F.slice(p, F.lit(1), i + 1), lambda x: x["r"] > 1))
         return _let(out, lambda o: F.array_join(F.transform(p, lambda x, i: F.when(x["r"] > 1, F.chr(x["b"] + F.get(o, rank(i) - 1))).otherwise(F.chr(x["b"]))), ""))
 
@@ -138,18 +143,18 @@ def mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), step)
 
 
-def _email(m: Column) -> Column:
+def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
     places = F.transform(_chars(local), _by_class)
-    return F.concat(_permute_chars(places, "email"), F.substr(m, F.length(local) + 1))
+    return F.concat(_permute_chars(places, "email", key), F.substr(m, F.length(local) + 1))
 
 
-def _ip(m: Column) -> Column:
+def _ip(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    return F.array_join(F.transform(feistel(octets, F.array_repeat(F.lit(256), 4), F.lit("ip")), lambda x: x.cast("string")), ".")
+    return F.array_join(F.transform(feistel(octets, F.array_repeat(F.lit(256), 4), F.lit("ip"), key), lambda x: x.cast("string")), ".")
 
 
-def _date(m: Column) -> Column:
+def _date(m: Column, key: str) -> Column:
     iso = F.contains(m, F.lit("-"))
     slash = F.contains(m, F.lit("/"))
     parts = F.split(m, "[-/.]")
@@ -162,9 +167,24 @@ def _date(m: Column) -> Column:
         when = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
 
         def shifted(d: Column) -> Column:
-            at = F.datediff(d, F.lit(FIRST_DAY).cast("date"))
-            halves = F.array((at / DAY_LOW).cast("int"), (at % DAY_LOW).cast("int"))
-            new = _let(feistel(halves, F.array(F.lit(DAYS // DAY_LOW), F.lit(DAY_LOW)), F.lit("date")), lambda v: F.date_add(F.lit(FIRST_DAY).cast("date"), v[0] * DAY_LOW + v[1]))
+            y, high = F.year(d), F.dayofmonth(d) > 12
+            era = F.floor((y + 200) / 400)  # the years of an era are 400 but for the first and last, which have 200
+            first = F.greatest(F.lit(0), era * 400 - 200)
+            months = F.when((era == 0) | (era == 25), 2400).otherwise(4800)
+            place = F.array(((y - first) * 12 + F.month(d) - 1).cast("int"), (F.dayofmonth(d) - F.when(high, 13).otherwise(1)).cast("int"))
+            radices = F.array(months.cast("int"), F.when(high, 19).otherwise(12).cast("int"))
+            tweak = F.concat(F.lit("date|"), era.cast("string"), F.when(high, F.lit("|high")).otherwise(F.lit("|low")))
+
+            def day_of(v: Column) -> Column:
+                of_month = F.make_date((first + F.floor(v[0] / 12)).cast("int"), (v[0] % 12 + 1).cast("int"), F.lit(1))
+                there = F.date_add(of_month, v[1] + F.when(high, 12).otherwise(0))
+                return F.when(F.month(there) == F.month(of_month), there)  # null: no such day
+
+            def step(s: Column, _: Column) -> Column:
+                return F.when(s["day"].isNotNull(), s).otherwise(_let(feistel(s["v"], radices, tweak, key), lambda v: F.struct(v.alias("v"), day_of(v).alias("day"))))
+
+            start = F.struct(place.alias("v"), F.lit(None).cast("date").alias("day"))
+            new = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step)["day"]
             two = lambda x, old: F.when(F.length(old) == 2, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
 
             def written(n: Column) -> Column:
@@ -172,24 +192,24 @@ def _date(m: Column) -> Column:
                 sep = F.when(slash, "/").otherwise(".")
                 return F.when(iso, F.concat_ws("-", y, mo, da)).when(day_first, F.concat(da, sep, mo, sep, y)).otherwise(F.concat(mo, sep, da, sep, y))
 
-            return F.when(at.between(0, DAYS - 1), _let(new, written)).otherwise(m)
+            return _let(new, lambda n: F.when(n.isNull(), m).otherwise(written(n)))
 
         return _let(when, lambda d: F.when(d.isNull(), m).otherwise(shifted(d)))
 
     return _let(parts, done)
 
 
-def _ssn(m: Column) -> Column:
+def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substr(m, F.lit(a), F.lit(n)).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     values = F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
-    out = feistel(values, F.array(F.lit(898), F.lit(99), F.lit(9999)), F.lit("ssn"))
+    out = feistel(values, F.array(F.lit(898), F.lit(99), F.lit(9999)), F.lit("ssn"), key)
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
     text = _let(out, lambda v: F.concat_ws("-", pad(F.when(v[0] >= 665, v[0] + 2).otherwise(v[0] + 1), 3), pad(v[1] + 1, 2), pad(v[2] + 1, 4)))
     return F.when(valid, text).otherwise(m)
 
 
-def _phone(m: Column) -> Column:
+def _phone(m: Column, key: str) -> Column:
     chars = _chars(m)
 
     def place(c: Column, i: Column) -> Column:
@@ -204,14 +224,14 @@ def _phone(m: Column) -> Column:
     def moved(p: Column) -> Column:
         f = free(p)
         shape = F.concat_ws("|", F.lit("phone"), F.array_join(F.transform(f, lambda x: x["r"].cast("string")), ","))
-        out = feistel(F.transform(f, lambda x: x["v"]), F.transform(f, lambda x: x["r"]), shape)
+        out = feistel(F.transform(f, lambda x: x["v"]), F.transform(f, lambda x: x["r"]), shape, key)
         rank = lambda i: F.size(free(F.slice(p, F.lit(1), i + 1)))
         return _let(out, lambda o: F.array_join(F.transform(p, lambda x, i: F.when(x["r"] > 1, F.chr(x["b"] + F.get(o, rank(i) - 1))).otherwise(F.chr(x["b"]))), ""))
 
     return _let(F.transform(chars, place), moved)
 
 
-def _iban(m: Column) -> Column:
+def _iban(m: Column, key: str) -> Column:
     valid = mod97(F.concat(F.substr(m, F.lit(5)), F.substr(m, F.lit(1), F.lit(4)))) == 1
     places = F.transform(_chars(F.substr(m, F.lit(5))), _by_class)
 
@@ -219,15 +239,15 @@ def _iban(m: Column) -> Column:
         country = F.substr(m, F.lit(1), F.lit(2))
         return F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
 
-    return F.when(valid, _let(_permute_chars(places, "iban"), checked)).otherwise(m)
+    return F.when(valid, _let(_permute_chars(places, "iban", key), checked)).otherwise(m)
 
 
-def _card(m: Column) -> Column:
+def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     n = F.length(digits)
     middle = F.transform(_chars(F.substr(digits, F.lit(2), n - 2)), _by_class)
     tweak = F.concat(F.lit("card|"), n.cast("string"), F.lit("|"), F.substr(digits, F.lit(1), F.lit(1)))
-    out = feistel(F.transform(middle, lambda x: x["v"]), F.transform(middle, lambda x: x["r"]), tweak)
+    out = feistel(F.transform(middle, lambda x: x["v"]), F.transform(middle, lambda x: x["r"]), tweak, key)
     body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.array_join(F.transform(out, lambda x: x.cast("string")), ""))
 
     def checked(b: Column) -> Column:
@@ -238,29 +258,29 @@ def _card(m: Column) -> Column:
     return F.when(luhn_sum(digits) % 10 == 0, _let(body, checked)).otherwise(m)
 
 
-def pseudonym(m: Column) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of :data:`ANY`; the kind is the first whose pattern the match has."""
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
-    out = F.when(F.contains(m, F.lit("@")), _email(m))
+    out = F.when(F.contains(m, F.lit("@")), _email(m, key))
     for kind, made in (("ip", _ip), ("date", _date), ("ssn", _ssn), ("phone", _phone), ("iban", _iban)):
-        out = out.when(whole(kind), made(m))
-    return out.otherwise(_card(m))
+        out = out.when(whole(kind), made(m, key))
+    return out.otherwise(_card(m, key))
 
 
-def scrub(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in ``column`` and their number in ``n_pseudonyms``.
+def scrub(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """``docs`` with pseudonyms under ``key`` in ``column`` and their number in ``n_pseudonyms``.
 
     Only texts with a digit or an at sign are searched at all.
     """
-    keep = [c for c in docs.columns if c != "n_pseudonyms"]
-    text = F.col(f"`{column}`")
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], found.alias("_found"))
-    changed = F.transform("_found", pseudonym)
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep], F.when(F.size("_found") > 0, F.struct(F.col("_found").alias("old"), changed.alias("new"))).alias("_found"))
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_pseudonyms"]
+    held = unused("_found", docs)
+    found, text = F.col(held), F.col(f"`{column}`")
+    rows = docs.select(*keep, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias(held))
+    changed = F.transform(found, lambda m: pseudonym(m, key))
+    rows = rows.select(*keep, F.when(F.size(found) > 0, F.struct(found.alias("old"), changed.alias("new"))).alias(held))
     # a split with limit -1 has one gap more than there are matches
     gaps = F.split(text, ANY, -1)
-    filled = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("_found.new")), "_found.new", lambda a, b: F.concat(a, b)), ""), F.element_at(gaps, -1))
-    n = F.size(F.filter(F.arrays_zip("_found.old", "_found.new"), lambda x: x["old"] != x["new"])).cast("long")
-    out = [F.when(F.col("_found").isNull(), text).otherwise(filled).alias(c) if c == column else F.col(f"`{c}`") for c in keep]
-    return rows.select(*out, F.coalesce(F.when(F.col("_found").isNotNull(), n), F.lit(0)).cast("long").alias("n_pseudonyms"))
+    filled = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found["new"])), found["new"], lambda a, b: F.concat(a, b)), ""), F.element_at(gaps, -1))
+    n = F.size(F.filter(F.arrays_zip(found["old"], found["new"]), lambda x: x["old"] != x["new"])).cast("long")
+    out = [F.when(found.isNull(), text).otherwise(filled).alias(c) if c == column else F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_pseudonyms"]
+    return rows.select(*out, F.coalesce(F.when(found.isNotNull(), n), F.lit(0)).cast("long").alias("n_pseudonyms"))

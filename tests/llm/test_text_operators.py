@@ -339,7 +339,7 @@ def test_weights_of_a_fit_stand_for_repeated_rows():
 
 def test_pseudonyms_keep_format_and_links(spark):
     texts = ["card 4111 1111 1111 1111 ip 10.1.2.3", "4111111111111111 mail bob.Smith9@mail.example.org", "+1 (456) 555-2186 or 456-555-2186", "1999-12-31, 12/31/1999, 31.12.1999", "GB82WEST12345698765432 and 123-45-6789", "4111111111111112 13/13/2020 999.1.1.1 plain", "", None]
-    rows = pii.scrub(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    rows = pii.scrub(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").orderBy("doc_id").collect()
     out = [r["text"] for r in rows]
     d = lambda t: re.sub(r"\D", "", t)
     card = re.search(r"card (\d{4} \d{4} \d{4} \d{4})", out[0])[1]
@@ -369,13 +369,62 @@ def test_feistel_is_a_bijection(spark):
         size = int(np.prod(radices))
         values = [[int(x) for x in np.unravel_index(i, radices)] for i in range(size)]
         df = spark.createDataFrame([(v,) for v in values], "v array<int>")
-        got = {tuple(r["p"]) for r in df.select(pii.feistel(F.col("v"), F.array(*[F.lit(r) for r in radices]), F.lit("t")).alias("p")).collect()}
+        got = {tuple(r["p"]) for r in df.select(pii.feistel(F.col("v"), F.array(*[F.lit(r) for r in radices]), F.lit("t"), "k").alias("p")).collect()}
         assert len(got) == size and all(0 <= x < r for p in got for x, r in zip(p, radices, strict=True))
 
 
+def plain_feistel(values, radices, tweak, key):
+    """The network by its definition: each round adds a keyed digest of one half to the other."""
+    half = len(values) // 2
+    left, right = list(values[:half]), list(values[half:])
+    for i in range(pii.ROUNDS):
+        side, other, at = (left, right, 0) if i % 2 == 0 else (right, left, half)
+        h = hashlib.sha256("|".join([key, tweak, str(i), ",".join(map(str, other))]).encode()).hexdigest()
+        for j in range(len(side)):
+            side[j] = (side[j] + int(h[j % 10 * 6 : j % 10 * 6 + 6], 16)) % radices[at + j]
+    return left + right
+
+
+def test_feistel_by_its_definition(spark):
+    rng = random.Random(12)
+    cases = [[rng.randint(2, 300) for _ in range(rng.randint(1, 25))] for _ in range(40)]
+    rows = [([rng.randrange(r) for r in c], c, f"tweak{i}") for i, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, "v array<int>, r array<int>, t string")
+    got = {r["t"]: r["p"] for r in df.select("t", pii.feistel(F.col("v"), F.col("r"), F.col("t"), "secret").alias("p")).collect()}
+    assert all(got[t] == plain_feistel(v, r, t, "secret") for v, r, t in rows)
+    ips = spark.createDataFrame([(1, "see 10.20.30.40 now")], "doc_id long, text string")
+    want = ".".join(map(str, plain_feistel([10, 20, 30, 40], [256] * 4, "ip", "secret")))
+    assert pii.scrub(ips, "secret").first()["text"] == f"see {want} now" != pii.scrub(ips, "other").first()["text"]
+
+
+def test_dates_stay_apart(spark):
+    """Different days have different pseudonyms in every layout, and one day the same in all."""
+    first = "date_add(date'1996-01-01', cast(id as int))"
+    days = spark.range(3000).selectExpr(f"{first} as d").selectExpr("d", "date_format(d, 'yyyy-MM-dd') as iso", "date_format(d, 'dd.MM.yyyy') as dot", "if(day(d) > 12, date_format(d, 'dd/MM/yyyy'), date_format(d, 'MM/dd/yyyy')) as slash", "date_format(d, 'M/d/yyyy') as short")
+    days = days.unionByName(spark.sql("select date'0001-01-01' as d, '0001-01-01' as iso, '01.01.0001' as dot, '01/01/0001' as slash, '1/1/0001' as short"))
+    rows = [pii.scrub(days.selectExpr("d as doc_id", f"{c} as text"), "k").collect() for c in ("iso", "dot", "slash", "short")]
+    iso, dot, slash, short = ({r["doc_id"]: r["text"] for r in x} for x in rows)
+    assert all(len(set(x.values())) == 3001 and sum(d.isoformat() == x[d] for d in x) < 30 for x in (iso, dot, slash, short))
+    for d, t in iso.items():
+        y, m, k = t.split("-")
+        assert date(int(y), int(m), int(k)) and dot[d] == f"{k}.{m}.{y}" and slash[d] == (f"{k}/{m}/{y}" if d.day > 12 else f"{m}/{k}/{y}") and [int(x) for x in short[d].split('/')] == [int(m), int(k), int(y)]
+
+
 def test_pii_edges(spark):
-    assert pii.scrub(no_docs(spark)).count() == 0
-    assert pii.scrub(edge_docs(spark)).where("n_pseudonyms > 0").count() == 0
+    assert pii.scrub(no_docs(spark), "k").count() == 0
+    assert pii.scrub(edge_docs(spark), "k").where("n_pseudonyms > 0").count() == 0
+    named = edge_docs(spark).selectExpr("*", "1 as _found", "2 as __FOUND", "3 as N_pseudonyms")
+    got = pii.scrub(named, "k")
+    assert got.columns == [*named.columns[:-1], "n_pseudonyms"] and got.agg(F.sum("_found"), F.sum("__FOUND")).first() == (7, 14)
+
+
+def test_long_texts_do_not_exhaust_the_stack(spark):
+    """Parts of patterns repeated 100,000 times, each in a text with an address that is found."""
+    parts = ["a.", "a@", ".b", "1.", "1-", "1 ", "(1", "+1 ", "A1", "1/", "a@b.", "é", "x@y.z", "%", "10.0.0.1.", "1234-", "12/12/"]
+    rows = [(i, f"ip 10.1.2.3 {p * 100_000} ip 10.1.2.3") for i, p in enumerate(parts)] + [(99, "ip 10.1.2.3 m@" + "a." * 100_000 + "com ip 10.1.2.3")]
+    got = pii.scrub(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "k").collect()
+    new = {r["text"].split(" ")[1] for r in got}
+    assert len(new) == 1 and new != {"10.1.2.3"} and all(r["n_pseudonyms"] >= 2 for r in got)
 
 
 # 7: chat
