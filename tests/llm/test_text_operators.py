@@ -233,6 +233,71 @@ def test_mix_reaches_targets(spark):
         assert abs(sum(r["taken"] for r in rs) - target[s]) <= 60
 
 
+def brute_mix(rows, target):
+    """Copies of (id, source, text) rows of one source, by the definition: expected copies by length, whole parts, one Pareto ranking."""
+    sized = [(i, s, len(SPACE.findall(t or "")), t or "") for i, s, t in rows]
+    level = lambda n: min(31, int(np.floor(np.log2(max(n, 1)))))
+    words = Counter()
+    for _, _, n, _ in sized:
+        words[level(n)] += n
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        c = (lo + hi) / 2
+        lo, hi = (c, hi) if sum(min(3.0, c * 2 ** (-k / mixing.TILT)) * w for k, w in words.items()) < target else (lo, c)
+    copies = {k: min(3.0, lo * 2 ** (-k / mixing.TILT)) for k in words}
+    return sized, {k: (int(np.floor(x + 1e-6)), x - np.floor(x + 1e-6)) for k, x in copies.items()}, level
+
+
+def test_mix_by_one_ranking_of_different_odds(spark):
+    """The sample of a source against its definition: who is before whom in one ranking over documents of different p."""
+    rng = random.Random(15)
+    rows = [(i, "a" if i % 4 else "b", "w " * int(rng.paretovariate(0.7) * 3)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in mixing.mix_sources(docs).collect()}
+    said = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    for source in "ab":
+        own = [r for r in rows if r[1] == source]
+        target = got[own[0][0]]["target"]
+        sized, plan, level = brute_mix(own, target)
+        capped = target == 3 * sum(n for _, _, n, _ in sized)
+        assert (source == "b" and capped) or len({round(p, 6) for _, p in plan.values()}) > 2
+        odds = {}
+        for i, s, n, _ in sized:
+            u = (int(hashlib.md5(f"{mixing.SEED}|{i}|{s}|{n}|{said[i]}|1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            p = max(plan[level(n)][1], 1e-9)
+            odds[i] = u / (1 - u) / (p / (1 - p))
+        rest = target - sum(plan[level(n)][0] * n for _, _, n, _ in sized)
+        used, extra, stop = 0, set(), 1e300
+        for i, _, n, _ in sorted(sized, key=lambda x: odds[x[0]]):
+            if used + n > rest:
+                stop = odds[i]
+                break
+            used += n
+            extra.add(i)
+        differ = [i for i, _, n, _ in sized if n and got[i]["taken"] != n * (plan[level(n)][0] + (i in extra))]
+        assert len(differ) <= 300 and all(odds[i] > stop for i in differ)  # only behind the first that does not fit: its bucket is filled on
+        assert abs(sum(got[i]["taken"] for i, *_ in sized) - target) <= max(60, max(n for _, _, n, _ in sized))
+
+
+def test_mix_splits_equal_rows(spark):
+    rows = [(None, "a", "x y z w v u t s r q")] * 400 + [(7, None, "only one")] * 3 + [(1, "b", "w " * 50)] * 30 + [(k, "b", "w " * 50) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    again = mixing.mix_sources(docs.repartition(3)).groupBy("doc_id", "source", "size", "taken").count().collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixing.mix_sources(docs).groupBy("doc_id", "source", "size", "taken").count().collect()))
+    assert sum(r["n"] for r in got) == len(rows)
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= 50 and r["most"] <= 3
+
+
+def test_mix_names_cannot_clash(spark):
+    clash = ["_source", "_p", "_u", "_odds", "_bucket", "_end", "row", "id", "hash", "level", "whole", "rest", "p", "u", "part", "same", "Size", "g_id", "end_source", "lean"]
+    docs = spark.createDataFrame([(1, "a b c", "s", *range(len(clash))), (2, None, None, *range(len(clash))), (2, None, None, *range(len(clash)))], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in clash))
+    got = mixing.mix_sources(docs)
+    assert got.columns == ["doc_id", "text", "source", *(c for c in clash if c != "Size"), "size", "source_size", "target", "taken"]
+    assert got.count() == 3 and {r["lean"] for r in got.collect()} == {clash.index("lean")}
+
+
 def test_mix_edges(spark):
     assert mixing.mix_sources(no_docs(spark)).count() == 0
     got = mixing.mix_sources(edge_docs(spark))
