@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators, and their SQL where SQL can say it."""
+"""The registered queries of the training-data operators; their SQL, where SQL can say it, is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, chosenpath, decontam, mixing, ngramlm, pii, secrets, syncmers, toxicity, warc
 from .common import held_out, table
+from .oracles import ORACLES as ORACLES
 
 #: Key of the registered queries alone; whoever pseudonymises real data gives a secret one.
 DEMO_KEY = "terseframe-demo-key"
@@ -61,6 +62,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), paths)
 
 
+# the columns of four of these queries that SQL can say as well; each comes from the whole operator
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_ngram_trie(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def edit_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_syncmer_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = {
     "op1_warc_roundtrip": op1_warc_roundtrip,
     "op2_ngram_trie": op2_ngram_trie,
@@ -72,5 +92,8 @@ QUERIES = {
     "op9_syncmer_fingerprints": op9_syncmer_fingerprints,
     "op10_decontamination": op10_decontamination,
     "op3_mix_sources": op3_mix_sources,
+    "lm_base_scores": lm_base_scores,
+    "mix_targets": mix_targets,
+    "secret_base_spans": secret_base_spans,
+    "edit_digests": edit_digests,
 }
-ORACLES: dict[str, str] = {}

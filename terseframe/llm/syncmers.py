@@ -1,9 +1,11 @@
 """Document fingerprints from closed syncmers, and their positional likeness.
 
 A k-mer of characters is an anchor if the smallest hash among its s-mers stands at its first or last
-place; that depends on the k-mer alone, so an edit moves only the anchors it touches. A fingerprint
-keeps the M anchors with the smallest hashes, each with the place of its first occurrence. Two
-fingerprints are alike by the anchors they share whose places differ by about the same offset.
+place; that depends on the k-mer alone, so an edit moves only the anchors it touches. One scale serves
+texts of all lengths. A fingerprint keeps the anchors whose hash is in the lowest eighth of all hashes, so
+it grows with the text, and no fewer than the M smallest; each with the place of its first occurrence. Two
+fingerprints are alike by the anchors they share, below the hash up to which both are complete, whose
+places differ by about the same offset.
 
 Defined cases: a null text is empty; the empty text's fingerprint is the empty string, like itself
 (1.0) and like nothing else (0.0); a text of under k characters has its own hash as an anchor; equal
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import text_slices
 from .textvec import _powers, mix
 
-K, S, M = 24, 8, 64
-#: Texts of under SHORT characters have few anchors of k = 24, so they get those of a finer scale as well.
-SHORT, FINE_K, FINE_S = 512, 10, 4
+K, S, M = 16, 6, 64
+#: 32-bit hashes below it are kept whatever their number.
+ALWAYS = 1 << 29
 _U = np.uint64
 
 
@@ -70,27 +72,16 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray,
     return out
 
 
-def sketch(hashes: np.ndarray, places: np.ndarray, most: int = M) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` smallest 32-bit anchors in ascending order, each at its first place."""
-    if len(h_order := np.argsort(places, kind="stable")) > 1 and (np.diff(places) < 0).any():
-        hashes, places = hashes[h_order], places[h_order]
-    h = (hashes >> _U(32)).astype(np.int64)
-    if len(h) > 4 * most:
-        near = np.partition(h, 3 * most)[3 * most]
-        keep = h <= near
-        if len(np.unique(h[keep])) >= most:
-            h, places = h[keep], places[keep]
-    small, first = np.unique(h, return_index=True)
-    return small[:most], places[first[:most]]
+def sketch(hashes: np.ndarray, places: np.ndarray, least: int = M) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit anchors below ALWAYS, or the ``least`` smallest if those are more, in ascending order, each at its first place."""
+    h, first = np.unique((hashes >> _U(32)).astype(np.int64), return_index=True)
+    most = max(least, int(np.searchsorted(h, ALWAYS)))
+    return h[:most], places[first[:most]]
 
 
 def prints(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The sketch of each text."""
-    found = anchors(texts)
-    short = [i for i, t in enumerate(texts) if FINE_K <= len(t) < SHORT]
-    for i, (h, p) in zip(short, anchors([texts[i] for i in short], FINE_K, FINE_S), strict=True):
-        found[i] = (np.concatenate([found[i][0], h]), np.concatenate([found[i][1], p]))
-    return [sketch(*x) for x in found]
+    return [sketch(*x) for x in anchors(texts)]
 
 
 def encode(h: np.ndarray, p: np.ndarray) -> str:
@@ -102,20 +93,25 @@ def decode(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([int(a, 16) for a, _ in pairs], np.int64), np.array([int(b, 16) for _, b in pairs], np.int64)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: int = M) -> float:
+def complete_below(h: np.ndarray, least: int = M) -> int:
+    """The hash below which a sketch has all anchors of its text."""
+    if len(h) < least:
+        return 1 << 32
+    return ALWAYS if h[-1] < ALWAYS else int(h[-1]) + 1
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Estimated share (Dice) of common anchors that keep about one offset, 0 to 1."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    joint = np.union1d(a[0], b[0])[:most]
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    inside = a[0][i] <= joint[-1]
-    if not inside.any():
+    top = min(complete_below(a[0]), complete_below(b[0]))
+    n, m = np.searchsorted(a[0], top), np.searchsorted(b[0], top)
+    _, i, j = np.intersect1d(a[0][:n], b[0][:m], assume_unique=True, return_indices=True)
+    if not len(i):
         return 0.0
-    offset = a[1][i][inside] - b[1][j][inside]
-    span = max(64, int(max(a[1].max(), b[1].max())) // 10)
-    agree = int((np.abs(offset - np.median(offset)) <= span).sum())
-    jaccard = agree / len(joint)
-    return 2 * jaccard / (1 + jaccard)
+    offset = a[1][i] - b[1][j]
+    span = 32 + int(max(a[1].max(), b[1].max())) // 50
+    return float(2 * (np.abs(offset - np.median(offset)) <= span).sum() / (n + m))
 
 
 def _edit(text: str, following: str) -> str:

@@ -8,7 +8,8 @@ the scan goes on at its end, so magic bytes inside a member are not looked at.
 Writing: each task appends its records to archives of its own under a name that no other attempt has,
 and reports what it has finished; Spark commits those reports, so files of lost attempts are never read.
 
-Defined cases: a null html is an empty payload; rows that share page_id and payload are all responses;
+Defined cases: header blocks and records may be of any length, a record is held in memory once; an HTTP
+length that is no number is taken from the payload; a null html is an empty payload; rows that share page_id and payload are all responses;
 a page without an id is a response without one, and nothing refers to it; an empty table gives no
 archive and no record; extra columns are not read.
 """
@@ -31,8 +32,6 @@ MAGIC = b"\x1f\x8b\x08"
 #: Bytes of one range of an archive, and about the bytes after which a writer begins another archive.
 RANGE = 4 << 20
 ARCHIVE = 256 << 20
-#: A member counts as a record if a header block ends within so many inflated bytes.
-HEADER_MOST = 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 2
@@ -128,6 +127,8 @@ class Window:
         self.f, self.size, self.at, self.piece, self.data = f, size, at, piece, b""
 
     def get(self, start: int, n: int) -> bytes:
+        if not self.at <= start <= self.at + len(self.data):  # a place that was dropped, or one that was skipped to
+            self.at, self.data = start, b""
         if start + n > self.at + len(self.data) and self.at + len(self.data) < self.size:
             end = self.at + len(self.data)
             self.f.seek(end)
@@ -140,8 +141,12 @@ class Window:
 
 
 def member_at(window: Window, start: int) -> tuple[bytes, int] | None:
-    """The inflated record and end of the member at ``start``, if a WARC record is there."""
-    z, out, at, size, checked = zlib.decompressobj(31), [], start, 0, False
+    """The inflated record and end of the member at ``start``, if a WARC record is there.
+
+    What does not begin with ``WARC/`` is no record; a header block may be of any length.
+    """
+    z, out, at, head = zlib.decompressobj(31), [], start, bytearray()
+    checked = False
     while not z.eof:
         piece = window.get(at, 64 << 10)
         if not piece:
@@ -152,13 +157,18 @@ def member_at(window: Window, start: int) -> tuple[bytes, int] | None:
             return None
         at += len(piece) - len(z.unused_data)
         out.append(got)
-        size += len(got)
         if not checked:
-            head = b"".join(out)
-            if parse_header(head) is None and (size >= HEADER_MOST or z.eof or not b"WARC/".startswith(head[:5]) and not head.startswith(b"WARC/")):
+            seen = max(0, len(head) - 3)
+            head += got
+            if not b"WARC/".startswith(head[:5]) and not head.startswith(b"WARC/"):
                 return None
-            checked = parse_header(head) is not None
-    return b"".join(out), at
+            if z.eof or head.find(b"\r\n\r\n", seen) >= 0:
+                if parse_header(bytes(head)) is None:
+                    return None
+                checked = True
+        else:
+            window.drop(at)
+    return (b"".join(out), at) if checked else None
 
 
 def scan_range(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -202,7 +212,8 @@ def read_records(archives: DataFrame, range_bytes: int = RANGE) -> DataFrame:
                         fields, body = parse_header(data)
                         block = data[body : body + int(fields["content-length"])]
                         http, _, payload = block.partition(b"\r\n\r\n")
-                        length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
+                        said = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                        length = int(said[0]) if said and said[0].isdigit() else len(payload)
                         kind = fields["warc-type"]
                         rows.append({"path": r["path"], "offset": at, "record_type": kind, "record_id": fields.get("warc-record-id"), "refers_to": fields.get("warc-refers-to"), "url": fields.get("warc-target-uri"), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": length, "payload": payload if kind == "response" else None})
                         held += len(data)

@@ -1,3 +1,6 @@
+import glob
+
+import duckdb
 import pytest
 
 from terseframe.llm import queries
@@ -13,3 +16,16 @@ def test_runs_on_the_smallest_tables(spark, sf, name):
         assert got.count() >= 0
     else:
         assert got.select(key).distinct().count() == ids + (key == "conv_id")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_its_sql(spark, sf, name):
+    duck = duckdb.connect()
+    for path in glob.glob(f"{sf}/*.parquet"):
+        duck.sql(f"create view {path.split('/')[-1][:-8]} as select * from '{path}'")
+    want = duck.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, sf)
+    columns = sorted(want.columns)
+    assert set(columns) <= set(got.columns) and (name[:2] == "op" or set(columns) == set(got.columns))
+    rows = sorted(map(str, (tuple(r) for r in got.select(*columns).collect())))
+    assert rows == sorted(map(str, want.select(*columns).fetchall()))

@@ -83,6 +83,20 @@ def test_warc_ignores_magic_inside_members():
     assert ids == ["<urn:page:1>", "<urn:page:2>"]
 
 
+def test_warc_long_headers_and_records():
+    import io
+
+    rng = random.Random(2)
+    url = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=300_000))
+    big = rng.randbytes(6 << 20)
+    records = [warc.record(1, url, b"one", warc.digest(b"one")), warc.record(2, "u", big, warc.digest(big)), warc.record(3, "v", b"", warc.digest(b""))]
+    fake = zlib.compressobj(2, zlib.DEFLATED, 31)
+    data = b"".join([warc.gzip_member(records[0]), fake.compress(b"WARC/1.1 but no header" * 9000) + fake.flush(), warc.gzip_member(records[1]), warc.gzip_member(records[2])])
+    for size in (1 << 20, len(data)):
+        got = [r for start in range(0, len(data), size) for _, r in warc.scan_range(io.BytesIO(data), len(data), start, min(start + size, len(data)))]
+        assert got == records
+
+
 # 2: language model
 
 
@@ -629,6 +643,22 @@ def test_edits_and_next(spark):
     assert syncmers.encode(*a) == syncmers.encode(*b) and syncmers.likeness(syncmers.decode(syncmers.encode(*a)), b) == 1.0
 
 
+def test_likeness_of_all_lengths():
+    """The sketch's likeness against that of all anchors, for texts on every side of the sketch's bounds; one scale for all lengths."""
+    rng = random.Random(30)
+    words_ = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+    for n in (60, 300, 500, 520, 2000, 20_000, 120_000):
+        for _ in range(6):
+            t = " ".join(rng.choices(words_, k=n // 6))[:n]
+            f = " ".join(rng.choices(words_, k=n // 6))[:n]
+            e = syncmers._edit(t, f)
+            a, b, c = syncmers.prints([t, e, f])
+            (h, _), (g, _) = syncmers.anchors([t, e])
+            exact = 2 * len(np.intersect1d(h, g)) / (len(np.unique(h)) + len(np.unique(g)))
+            assert abs(syncmers.likeness(a, b) - exact) < 0.2 and syncmers.likeness(a, b) > 0.4 and syncmers.likeness(a, c) < 0.1
+        assert len(a[0]) >= min(64, len(np.unique(h))) and (n < 20_000 or len(a[0]) > n / 100)
+
+
 # 10: decontamination
 
 
