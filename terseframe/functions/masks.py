@@ -32,7 +32,10 @@ PATTERNS = (
     ("email", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "[REDACTED:EMAIL]"),
 )
 ENTROPY_RUN, ENTROPY_LEAST, ENTROPY_MASK = r"[A-Za-z0-9+/=_\-]{40,}", 4.5, "[REDACTED:HIGH_ENTROPY]"
+#: What a text must hold, in lower case, for a pattern to match at all; a digit stands for any.
+_NEEDS = {"pem_private_key": "private key-----", "bearer_token": "bearer", "sk_key": "sk-", "github_pat": "gh", "slack_token": "xox", "aws_access_key": "akia", "aws_secret": "aws", "connection_string": "://", "password_kv": "password", "email": "@"}
 _COMPILED = tuple((name, re.compile(p), mask) for name, p, mask in PATTERNS)
+_DIGIT = re.compile(r"\d")
 _RUN = re.compile(ENTROPY_RUN)
 
 
@@ -59,7 +62,11 @@ def mask(text: str) -> tuple[str, dict[str, int]]:
 
         return one
 
+    low, digit = text.lower().replace("ſ", "s"), _DIGIT.search(text)  # the long s is an s where case is ignored
     for name, pattern, new in _COMPILED:
+        # masks only add capital letters, so what the text lacks at first it lacks later
+        if not (_NEEDS[name] in low if name in _NEEDS else digit):
+            continue
         text = pattern.sub(put(name, new, luhn if name == "credit_card" else bool), text)
     text = _RUN.sub(put("high_entropy", ENTROPY_MASK, lambda s: entropy(s) >= ENTROPY_LEAST), text)
     return text, dict(hits)

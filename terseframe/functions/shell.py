@@ -19,7 +19,7 @@ PASSING = (
     r"(?iU)^\s*collecting \.\.\.",
 )
 LIBRARY_FRAME = r'(?d)File "(?:.*(site-packages|dist-packages|Lib[/\\]|lib/python|<frozen)[^"]*)"'
-EXCEPTION = r"(?imdU)^(?:\w+\.)*\w*(?:Error|Exception|Warning|Failure|Fault|Panic|FAIL|fatal).*"
+EXCEPTION = r"(?imdU)^([\w.]*?)(?:Error|Exception|Warning|Failure|Fault|Panic|FAIL|fatal).*"
 
 
 def drop_passing(lines: Column) -> Column:
@@ -64,8 +64,14 @@ def cap_lines(lines: Column, most: int = 200) -> Column:
 
 
 def root_exception(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(EXCEPTION), F.lit(0))
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    """The last line that begins with a dotted name of an exception.
+
+    The dotted name is a class of characters in the pattern, as a repeated group would take a stack frame for each part;
+    that its parts are not empty is asked of what was found.
+    """
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(EXCEPTION), F.lit(0)).alias("line"), F.regexp_extract_all(text, F.lit(EXCEPTION), F.lit(1)).alias("name"))
+    named = F.filter(found, lambda x: ~x["name"].startswith(".") & ~F.contains(x["name"], F.lit("..")))
+    return F.when(F.size(named) > 0, F.element_at(named, -1)["line"])
 
 
 def minify_shell(text: Column, most: int = 200, ratio: float = 0.15) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.code import call_graph, prune
@@ -21,30 +23,36 @@ def index_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return symbols, calls
 
 
-def _cut(df: DataFrame, folder: str | None, step: int) -> DataFrame:
-    """Lineage cut by a written table of the shared folder, or by a cache where none is named."""
-    if folder is None:
-        return df.persist()
-    path = f"{folder}/{step}"
+def _folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share, below ``spark.checkpoint.dir``; only a local master may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="terseframe-reach-")
+    return f"{base.rstrip('/')}/reach-{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame, path: str) -> DataFrame:
+    """Lineage cut by a written table, which outlives any executor."""
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reachable(calls: DataFrame, focal: DataFrame) -> DataFrame:
-    """Symbols reached from ``focal`` (symbol) over calls by name: frontier joins until nothing is new, so cycles end."""
-    spark = calls.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base.rstrip('/')}/reach-{uuid.uuid4().hex}" if base else None
-    edges = _cut(calls.select(F.col("caller_symbol").alias("symbol"), F.col("callee_symbol").alias("next")).distinct(), folder, 0)
-    seen = frontier = _cut(focal.select("symbol").distinct(), folder, 1)
-    step = 2
-    while True:
+    """Symbols reached from ``focal`` (symbol) over calls by name: frontier joins until nothing is new, so cycles end.
+
+    Each hop joins the frontier alone and writes it; what was seen is the union of the frontiers.
+    """
+    folder = _folder(calls.sparkSession)
+    edges = _cut(calls.select(F.col("caller_symbol").alias("symbol"), F.col("callee_symbol").alias("next")).distinct(), f"{folder}/edges")
+    seen = frontier = _cut(focal.select("symbol").distinct(), f"{folder}/0")
+    for step in itertools.count(1):
         new = frontier.join(edges, "symbol").select(F.col("next").alias("symbol")).distinct().join(seen, "symbol", "left_anti")
-        frontier = _cut(new, folder, step)
-        if frontier.limit(1).count() == 0:
+        frontier = _cut(new, f"{folder}/{step}")
+        if frontier.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(frontier), folder, step + 1)
-        step += 2
+        seen = seen.unionByName(frontier)
 
 
 def prune_files(files: DataFrame, symbols: DataFrame, reached: DataFrame) -> DataFrame:

@@ -42,14 +42,16 @@ def resolve(pointers: DataFrame, entries: DataFrame) -> DataFrame:
 def file_versions(files: DataFrame, order: str = "seq") -> DataFrame:
     """Adds version, previous version's content and whether a row repeats the latest; rows of a path in order.
 
-    A repeat stores nothing, so the latest version is always the row before.
+    A repeat stores nothing, so the latest version is always the row before. Rows without a path have no versions
+    (version 1, no previous one) and are kept apart from each other.
     """
-    chain = Window.partitionBy("path").orderBy(order)
+    alone = F.when(F.col("path").isNull(), F.xxhash64(order))
+    chain = Window.partitionBy("path", alone).orderBy(order)
     rows = files.withColumn("_hash", content_hash(F.col("content")))
     changed = F.coalesce((F.col("_hash") != F.lag("_hash").over(chain)).cast("int"), F.lit(0))
-    rows = rows.withColumn("_changed", changed).withColumn("previous", F.lag("content").over(chain)).withColumn("_first", F.row_number().over(chain) == 1)
+    rows = rows.withColumn("_changed", changed).withColumn("previous", F.when(F.col("path").isNotNull(), F.lag("content").over(chain))).withColumn("_first", F.row_number().over(chain) == 1)
     rows = rows.withColumn("version", (1 + F.sum("_changed").over(chain)).cast("long"))
-    return rows.withColumn("unchanged", ~F.col("_first") & (F.col("_changed") == 0)).drop("_hash", "_changed", "_first")
+    return rows.withColumn("unchanged", F.col("path").isNotNull() & ~F.col("_first") & (F.col("_changed") == 0)).drop("_hash", "_changed", "_first")
 
 
 def file_deltas(versions: DataFrame, ratio: float = 0.6) -> DataFrame:
@@ -101,3 +103,56 @@ def request_meta(headers: Column, body: Column, prefix: str) -> Column:
     lower = F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     take = lambda h, b: F.coalesce(F.nullif(F.try_element_at(lower, F.lit(prefix.lower() + h)), F.lit("")), body[b].cast("string"))
     return F.struct(take("component", "component_id").alias("component_id"), take("run", "run_id").alias("run_id"), take("budget", "budget_tokens").try_cast("int").alias("budget_tokens"))
+
+
+def answer_tool_calls(responses: DataFrame, entries: DataFrame, tool: str) -> DataFrame:
+    """Responses (response_id, content) with a result block appended for every call of ``tool``, in the order of the calls.
+
+    ``content`` is an array of structs (type, id, name, hash, tool_use_id, content); a response without such a call stays as
+    it is, and an unknown hash gets the error text. A response's few blocks are collected in one row.
+    """
+    block = responses.schema["content"].dataType.elementType
+    calls = responses.select("response_id", F.posexplode("content").alias("_at", "b")).where((F.col("b.type") == "tool_use") & (F.col("b.name") == tool))
+    asked = calls.select("response_id", "_at", F.coalesce("b.id", F.lit("")).alias("_id"), F.coalesce("b.hash", F.lit("")).alias("hash"))
+    found = asked.join(entries.select("hash", F.col("content").alias("_found")), "hash", "left")
+    said = F.coalesce("_found", F.concat(F.lit(MISSING), F.col("hash"), F.lit("'.")))
+    values = {"type": F.lit("tool_result"), "tool_use_id": F.col("_id"), "content": said}
+    result = F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in block.fields])
+    results = found.groupBy("response_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", result.alias("b")))), lambda x: x["b"]).alias("_results"))
+    out = responses.join(results, "response_id", "left")
+    return out.withColumn("content", F.when(F.col("_results").isNull(), F.col("content")).otherwise(F.concat("content", "_results"))).drop("_results")
+
+
+def inject_tool(tools: Column, used: Column, name: str, definition: str) -> Column:
+    """Tools, an array of structs (name, definition), with the retrieval tool last, once, where something was stored."""
+    there = F.exists(F.coalesce(tools, F.array().cast("array<struct<name:string,definition:string>>")), lambda x: x["name"] == name)
+    added = F.array(F.struct(F.lit(name).alias("name"), F.lit(definition).alias("definition")))
+    own = F.coalesce(tools, F.array().cast("array<struct<name:string,definition:string>>"))
+    return F.when(used & ~there, F.concat(own, added)).otherwise(own)
+
+
+# Headers that are not passed on with a request, or back with a response.
+NOT_FORWARDED = ("host", "content-length", "transfer-encoding")
+NOT_RETURNED = ("transfer-encoding", "content-encoding")
+
+
+def forward_headers(headers: Column, prefix: str) -> Column:
+    """Headers of a request as they are passed on: without those of the connection and the ``prefix`` fields read here."""
+    gone = (*NOT_FORWARDED, *(prefix.lower() + x for x in ("component", "run", "budget")))
+    return F.map_concat(F.map_filter(headers, lambda k, _: ~F.lower(k).isin(*gone, "content-type")), F.create_map(F.lit("content-type"), F.lit("application/json")))
+
+
+def return_headers(headers: Column, prefix: str, saved: Column, percent: Column, component: Column, tier: Column) -> Column:
+    """Headers of a response as they are passed back, with what was saved."""
+    none = F.create_map().cast("map<string,string>")
+    added = [
+        F.create_map(F.lit(prefix + "tokens-saved"), saved.cast("string"), F.lit(prefix + "compression-pct"), F.format_string("%.1f", percent)),
+        F.when(F.coalesce(component, F.lit("")) != "", F.create_map(F.lit(prefix + "component"), component)).otherwise(none),
+        F.when(tier >= 0, F.create_map(F.lit(prefix + "budget-tier"), tier.cast("string"))).otherwise(none),
+    ]
+    return F.map_concat(F.map_filter(headers, lambda k, _: ~F.lower(k).isin(*NOT_RETURNED) & ~F.lower(k).startswith(prefix.lower())), *added)
+
+
+def cache_hit(headers: Column) -> Column:
+    """Whether a response's headers tell of a cache."""
+    return F.map_contains_key(headers, "anthropic-cache-creation-input-tokens") | F.coalesce(F.try_element_at(headers, F.lit("x-cache")) == "HIT", F.lit(False))

@@ -7,12 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions import classify, code, jsoncrush, masks, prose, shell
 from ..functions.text import content_hash, json_string_length, lines_with_ends, saved_by, saved_tokens, tokens
 from ..operators import budget, callgraph, reports, store
 from ..operators import messages as m
 from ..sources import tables as t
-from . import pipeline
+from . import pipeline, requests
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -189,9 +190,9 @@ def near_dup_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.near_dup_turns(t.messages(spark, sf_dir), threshold=0.75).select("request_id", "msg_idx", "ref_idx", "same_bits", "is_dup")
 
 
-@query("with " + _SIM.format(id="doc_id", table="documents") + _NEAR.format(part="lang", ord="doc_id", table="documents", id="doc_id", least=55))
+@query("with " + _SIM.format(id="doc_id", table="documents") + _NEAR.format(part="lang || '-' || (doc_id // 500)", ord="doc_id", table="documents", id="doc_id", least=55))
 def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t.table(spark, sf_dir, "documents").select(F.col("lang").alias("request_id"), F.col("doc_id").alias("msg_idx"), F.col("text").alias("content"))
+    docs = t.table(spark, sf_dir, "documents").select(F.concat_ws("-", "lang", F.floor(F.col("doc_id") / 500).cast("string")).alias("request_id"), F.col("doc_id").alias("msg_idx"), F.col("text").alias("content"))
     return m.near_dup_turns(docs).select("request_id", "msg_idx", "ref_idx", "same_bits", "is_dup")
 
 
@@ -244,10 +245,10 @@ _LOG = r"""log as (select user_id, string_agg(case event_id % 9 when 0 then 'tes
 _PASSING = "(" + "|".join(re2(p) if p.startswith("(?i") else f"(?:{re2(p)})" for p in shell.PASSING).replace("(?i)", "") + ")"
 
 
-@query(f"with {_LOG} select user_id, len(list_filter(regexp_extract_all(text, '[^\\n]*\\n'), lambda x: not regexp_matches(x, {quote('(?i)' + _PASSING)}))) as kept, len(regexp_extract_all(text, '[^\\n]*\\n')) as lines from log")
+@query(f"with {_LOG} select user_id, array_to_string(list_filter(regexp_extract_all(text, '[^\\n]*\\n'), lambda x: not regexp_matches(x, {quote('(?i)' + _PASSING)})), '') as kept, len(regexp_extract_all(text, '[^\\n]*\\n')) as lines from log")
 def shell_pass_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines_with_ends(F.col("text"))
-    return t.logs(spark, sf_dir).select("user_id", F.size(shell.drop_passing(lines)).cast("long").alias("kept"), F.size(lines).cast("long").alias("lines"))
+    return t.logs(spark, sf_dir).select("user_id", F.array_join(shell.drop_passing(lines), "").alias("kept"), F.size(lines).cast("long").alias("lines"))
 
 
 @query(rf"with {_LOG} select user_id, list_last(regexp_extract_all(text, {quote('(?im)^(?:' + chr(92) + 'w+' + chr(92) + '.)*' + chr(92) + 'w*(?:Error|Exception|Warning|Failure|Fault|Panic|FAIL|fatal)[^' + chr(92) + 'n]*')})) as root from log")
@@ -265,7 +266,16 @@ def shell_group_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.logs(spark, sf_dir).select("user_id", F.array_join(shell.group_similar(lines_with_ends(F.col("text"))), "").alias("text"))
 
 
-@query()
+_LINE = _LOG[_LOG.index("case event_id") : _LOG.index(" || chr(10), '' order by")]
+
+
+@query(
+    f"""with l as (select user_id, event_id % 9 = 6 as f, row_number() over (partition by user_id order by event_id) as rn, ({_LINE}) || chr(10) as line from events),
+    g as (select *, rn - row_number() over (partition by user_id, f order by rn) as island from l),
+    k as (select user_id, min(rn) as rn, case when f then '    … ' || count(*) || case when count(*) > 1 then ' stdlib/venv frames omitted …' else ' stdlib/venv frame omitted …' end || chr(10)
+      else string_agg(line, '' order by rn) end as part from g group by user_id, f, island)
+    select user_id, string_agg(part, '' order by rn) as text from k group by 1"""
+)
 def shell_frame_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.logs(spark, sf_dir).select("user_id", F.array_join(shell.collapse_frames(lines_with_ends(F.col("text"))), "").alias("text"))
 
@@ -291,7 +301,16 @@ def file_store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.file_versions(t.files(spark, sf_dir)).agg(F.count_distinct("path").alias("paths"), F.count_if(~F.col("unchanged")).alias("stored"))
 
 
-@query()
+_BODY = "'# module' || chr(10) || repeat('def f_' || c || '(x):' || chr(10) || '    return x' || chr(10), 20) || 'STATE = ' || c || chr(10)"
+
+
+@query(
+    f"""with f as ({_FILES}), g as (select *, lag(c) over (partition by path order by seq) as p, {_BODY} as body from f),
+    v as (select *, (1 + sum(case when p <> c then 1 else 0 end) over (partition by path order by seq))::bigint as version, coalesce(p = c, false) as same from g),
+    -- every function changes with the state, so a diff is longer than the text and only repeats become pointers
+    n as (select *, case when same then '[FILEREF:' || path || '@v' || version || ' unchanged]' else body end as new from v)
+    select path, seq, version, same as is_delta, new as new_content, {SAVED.format('body', 'new')} as saved from n"""
+)
 def file_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.file_deltas(store.file_versions(t.files(spark, sf_dir))).select("path", "seq", "version", "is_delta", "new_content", "saved")
 
@@ -308,23 +327,37 @@ def json_crush_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select o_custkey, case when 4.0 / (4 * count(*)) < 0.30 and false then 1 else 2 end as knee, 4.0::double / (4 * count(*)) as leaf_density from orders group by 1"""
+    """select o_custkey, case when 1.0 / count(*) < 0.30 then 1 else 3 end as knee, 2.0::double / (2 * count(*)) as leaf_density, 3 as levels from orders group by 1"""
 )
 def json_knee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t.json_texts(spark, sf_dir).select("o_custkey", jsoncrush.key_density("text").alias("d"))
-    return rows.select("o_custkey", F.col("d.knee").alias("knee"), F.element_at("d.densities", -1).alias("leaf_density"))
+    """Documents of three levels of objects: the customer, its orders, and an object in each order."""
+    o = t.table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", F.struct("o_orderstatus", "o_orderpriority").alias("inner")).alias("o"))
+    rows = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o")).alias("orders"))
+    rows = rows.select("o_custkey", jsoncrush.key_density(F.to_json(F.struct(F.col("o_custkey").alias("customer"), "orders"))).alias("d"))
+    return rows.select("o_custkey", F.col("d.knee").alias("knee"), F.element_at("d.densities", -1).alias("leaf_density"), F.size("d.densities").alias("levels"))
 
 
-@query()
+_SKELETON = "chr(10) || repeat('def f_' || c || '(x):' || chr(10) || '    ...' || chr(10), 20) || 'STATE = ' || c || chr(10)"
+
+
+@query(f"with f as ({_FILES}) select path, seq, {_SKELETON} as text, length({_SKELETON})::int as n_chars from f")
 def code_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.files(spark, sf_dir)
     small = code.compact_code("content", "path")
     return rows.select("path", "seq", small.alias("text")).withColumn("n_chars", F.length("text"))
 
 
-@query("select page_id, lower(regexp_extract(url, '[^/.](\\.[^./]*)$', 1)) as ext from pages")
+_BY_EXT = "case ext " + " ".join(f"when {quote(k)} then {quote(v)}" for k, v in code.LANGUAGES.items()) + " end"
+
+
+@query(
+    f"""with p as (select page_id, unnest([url, 'src/a.PY', 'b.tsx', '.go', 'x/y.unknown']) as path from pages), e as (select *, lower(regexp_extract(path, '[^/.](\\.[^./]*)$', 1)) as ext from p)
+    select page_id, path, ext, {_BY_EXT} as language from e"""
+)
 def file_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", r"[^/.](\.[^./]*)$", 1)).alias("ext"))
+    paths = F.explode(F.array("url", *[F.lit(x) for x in ("src/a.PY", "b.tsx", ".go", "x/y.unknown")])).alias("path")
+    rows = t.table(spark, sf_dir, "pages").select("page_id", paths)
+    return rows.select("page_id", "path", F.lower(F.regexp_extract("path", r"[^/.](\.[^./]*)$", 1)).alias("ext"), code.language(F.col("path")).alias("language"))
 
 
 @query(
@@ -401,6 +434,66 @@ def budget_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.plan(asked).select("request_id", "tier")
 
 
+_JSON_CHARS = r"""(length({0}) + 2 + len(regexp_extract_all({0}, '["\\\n\r\t\x08\f]')) + 5 * len(regexp_extract_all({0}, '[\x00-\x07\x0b\x0e-\x1f\x7f-\x{{ffff}}]'))
+    + 11 * len(regexp_extract_all({0}, '[\x{{10000}}-\x{{10ffff}}]')))"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests of the conversations, with two tools and a budget for four of five."""
+    rows = t.messages(spark, sf_dir)
+    own = F.array(*[F.struct(F.lit(n).alias("name"), F.lit('{"name": "' + n + '"}').alias("definition")) for n in ("zeta", "alpha")])
+    asked = rows.select("request_id").distinct().withColumn("model", F.when(F.col("request_id") % 2 == 0, "claude-x").otherwise("gpt-x"))
+    return asked.withColumn("tools", own).withColumn("budget_tokens", F.when(F.col("request_id") % 5 != 0, F.col("request_id") * 13 % 900).cast("long")), rows
+
+
+# 27 characters of the payload's frame, the model in quotes, and ', "tools": []' with '{"name": "zeta"}' and '{"name": "alpha"}'
+@query(
+    f"""with c as (select conv_id, count(*)::bigint as n, sum(23 + {_JSON_CHARS.format("coalesce(role, '')")} + {_JSON_CHARS.format("coalesce(text, '')")}) as size from conversations group by 1),
+    r as (select conv_id, n, greatest(1, (27 + case when conv_id % 2 = 0 then 10 else 7 end + size + 2 * (n - 1) + 13 + 16 + 17 + 2) // 4)::bigint as raw,
+      case when conv_id % 5 <> 0 then conv_id * 13 % 900 end as budget from c),
+    t as (select *, {_TIER} as tier from r)
+    select conv_id as request_id, n as n_messages, raw as raw_tokens, case when coalesce(budget, 0) <> 0 then tier else -1 end as tier from t"""
+)
+def request_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload tokens and tier of whole requests."""
+    rows = requests.plan_requests(requests.raw_tokens(*_requests(spark, sf_dir)), EngineConfig())
+    return rows.select("request_id", "n_messages", "raw_tokens", "tier")
+
+
+@query(
+    """with r as (select conv_id, turn, role, text, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn) as rn,
+      sum((role <> 'system')::int) over (partition by conv_id) as turns from conversations)
+    select conv_id as request_id, min(n)::bigint as n_messages, max(case when conv_id % 2 = 0 and rn = n - least(3, turns) then turn end) as hint_idx, 'alpha,zeta' as tools from r group by 1"""
+)
+def request_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache hints and tools of assembled requests that store nothing."""
+    _, done = requests.reduce_requests(*_requests(spark, sf_dir), EngineConfig(offload=False, cross_component=False))
+    return done.select("request_id", "n_messages", "hint_idx", F.array_join(F.transform("tools", lambda x: x["name"]), ",").alias("tools"))
+
+
+@query()
+def request_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole requests by their budgets: tier, tokens before and after, savings by stage, the retrieval tool last where texts were stored."""
+    _, done = requests.reduce_requests(*_requests(spark, sf_dir), EngineConfig(offload_tokens=400))
+    return done.withColumn("tools", F.array_join(F.transform("tools", lambda x: x["name"]), ","))
+
+
+@query(
+    f"""with s as (select distinct {HASH.format('text')} as hash, text from documents where {TOK.format('text')} >= 500)
+    select doc_id as response_id, case when doc_id % 4 = 0 then 1 else 2 end as blocks,
+    case when doc_id % 4 <> 0 then coalesce(s.text, '[CCR ERROR] No entry found for hash ' || chr(39) || h || chr(39) || '.') end as answer
+    from (select doc_id, {HASH.format('text')} as h from documents) d left join s on s.hash = d.h"""
+)
+def tool_calls_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t.table(spark, sf_dir, "documents")
+    entries = store.store_entries(docs.select(F.col("doc_id").alias("seq"), F.col("text").alias("content"), F.col("source").alias("label")), 500)
+    none = F.lit(None).cast("string")
+    call = F.when(F.col("doc_id") % 4 == 0, "other").otherwise(requests.TOOL)
+    block = F.struct(F.lit("tool_use").alias("type"), F.lit("t1").alias("id"), call.alias("name"), content_hash(F.col("text")).alias("hash"), none.alias("tool_use_id"), none.alias("content"))
+    out = store.answer_tool_calls(docs.select(F.col("doc_id").alias("response_id"), F.array(block).alias("content")), entries, requests.TOOL)
+    return out.select("response_id", F.size("content").alias("blocks"), F.when(F.size("content") > 1, F.element_at("content", -1)["content"]).alias("answer"))
+
+
 @query("select conv_id as request_id, count(*) as n_messages, greatest(0, count(*) - least(3, count(*) filter (where role <> 'system')))::bigint as boundary from conversations group by 1")
 def cache_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.cache_boundary(t.messages(spark, sf_dir))
@@ -435,18 +528,35 @@ def provider_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _METRICS = """m as (select event_id as id, ts, (event_id * 37) % 5000 + 100 as raw_tokens, (event_id * 37) % 5000 + 100 - ((event_id * 37) % 5000 + 100) * (event_id % 70) // 100 as compressed_tokens,
-    event_id % 250 as latency_ms, event_id % 5 = 0 as cache_hit, event_id % 11 = 0 as offloaded, props as breakdown, case when event_id % 4 = 0 then '' else event_type end as component_id from events)"""
+    event_id % 250 as latency_ms, event_id % 900 as upstream_ms, event_id % 5 = 0 as cache_hit, event_id % 11 = 0 as offloaded, props as breakdown, case when event_id % 4 = 0 then '' else event_type end as component_id from events)"""
 _BP = "(case when sum(raw_tokens) > 0 then (sum(raw_tokens) - sum(compressed_tokens)) * 10000 // sum(raw_tokens) else 0 end)::bigint"
 
 
 @query(
-    f"""with {_METRICS} select count(*) as requests, sum(raw_tokens)::bigint as raw_tokens, sum(compressed_tokens)::bigint as compressed_tokens, round(avg(latency_ms), 2) as avg_latency_ms,
+    f"""with {_METRICS} select count(*) as requests, sum(raw_tokens)::bigint as raw_tokens, sum(compressed_tokens)::bigint as compressed_tokens, round(avg(latency_ms), 2) as avg_latency_ms, round(avg(upstream_ms), 2) as avg_upstream_ms,
     sum(cache_hit::int)::bigint as cache_hits, sum(offloaded::int)::bigint as offloads, (sum(raw_tokens) - sum(compressed_tokens))::bigint as saved_tokens, {_BP} as saved_bp from m"""
 )
 def dash_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.summary(t.metrics(spark, sf_dir))
 
 
+@query(
+    f"""with {_METRICS}, e as (select count(distinct {HASH.format('text')}) as entries from documents where {TOK.format('text')} >= 500)
+    select count(*) as requests, sum(raw_tokens)::bigint as raw_tokens, (sum(raw_tokens) - sum(compressed_tokens))::bigint as saved_tokens, {_BP} as saved_bp, any_value(entries) as entries from m, e"""
+)
+def dash_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("content"), F.col("source").alias("label"))
+    return reports.status(t.metrics(spark, sf_dir), store.store_entries(docs, 500))
+
+
+@query(
+    """with a as (select key as algorithm, sum(json_extract(props, '$.' || key)::bigint)::bigint as saved from (select props, unnest(json_keys(props)) as key from events) group by 1)
+    select algorithm, saved, (saved * 10000 // greatest(1, sum(saved) over ()))::bigint as share_bp from a"""
+)
+def dash_algorithm_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.algorithm_share(reports.by_algorithm(t.metrics(spark, sf_dir)))
+
+
 @query(f"with {_METRICS} select id, ts, raw_tokens, compressed_tokens from m order by ts desc, id desc limit 50")
 def dash_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.timeline(t.metrics(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = "struct<type:string,text:string,content:string>"
@@ -33,8 +33,18 @@ def messages_of(requests: DataFrame, request_id: str = "request_id") -> DataFram
 
 
 def record_requests(requests: DataFrame, path: str) -> None:
-    """Append requests to a log, as {path, ts, payload} lines."""
-    requests.write.mode("append").json(path)
+    """Append requests (path, ts, payload) to a log, one line {"path", "ts", "payload"} each; a payload is JSON text and stays as it is.
+
+    A row whose payload is no JSON is left out.
+    """
+    line = F.concat(F.lit('{"path": '), _quoted("path"), F.lit(', "ts": '), F.col("ts").cast("string"), F.lit(', "payload": '), F.regexp_replace("payload", r"[\r\n]+", " "), F.lit("}"))
+    requests.where(F.try_parse_json("payload").isNotNull()).select(line.alias("value")).write.mode("append").text(path)
+
+
+def _quoted(column: str) -> Column:
+    """A string column as a JSON literal."""
+    inner = F.to_json(F.struct(F.coalesce(column, F.lit("")).alias("x")))
+    return F.substr(inner, F.lit(6), F.length(inner) - 6)
 
 
 def read_code(spark: SparkSession, path: str) -> DataFrame:

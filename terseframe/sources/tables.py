@@ -22,7 +22,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = (F.col("event_id") * 37) % 5000 + 100
     gone = F.expr("((event_id * 37) % 5000 + 100) * (event_id % 70) div 100")
     return e.select(
-        F.col("event_id").alias("id"), "ts", raw.alias("raw_tokens"), (raw - gone).alias("compressed_tokens"), (F.col("event_id") % 250).alias("latency_ms"),
+        F.col("event_id").alias("id"), "ts", raw.alias("raw_tokens"), (raw - gone).alias("compressed_tokens"), (F.col("event_id") % 250).alias("latency_ms"), (F.col("event_id") % 900).alias("upstream_ms"),
         (F.col("event_id") % 5 == 0).alias("cache_hit"), (F.col("event_id") % 11 == 0).alias("offloaded"), F.col("props").alias("breakdown"),
         F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_type")).alias("component_id"), F.col("user_id").cast("string").alias("run_id"),
     )

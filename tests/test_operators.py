@@ -1,10 +1,14 @@
+import json
+
 from pyspark.sql import functions as F
 
+from terseframe.functions import code, shell
 from terseframe.functions.text import content_hash
 from terseframe.operators import budget, callgraph, reports, store
 from terseframe.operators import messages as m
-from terseframe.plans import pipeline
+from terseframe.plans import pipeline, requests
 from terseframe.sources import jsonl
+from terseframe.sources.storage import Storage, write_report
 
 LONG = "The quick brown fox jumps over the lazy dog and then writes a long report about every single step it took. "
 
@@ -104,9 +108,9 @@ def test_call_graph(spark):
 
 
 def test_reports(spark):
-    empty = spark.createDataFrame([], "id long, raw_tokens long, compressed_tokens long, latency_ms double, cache_hit boolean, offloaded boolean, component_id string, breakdown string, ts double")
+    empty = spark.createDataFrame([], "id long, raw_tokens long, compressed_tokens long, latency_ms double, upstream_ms double, cache_hit boolean, offloaded boolean, component_id string, breakdown string, ts double")
     assert reports.summary(empty).first()["saved_bp"] == 0
-    rows = spark.createDataFrame([(1, 1000, 400, 2.0, True, False, "a", '{"x": 5}', 1.0), (2, 1000, 900, 4.0, False, True, "", "bad", 2.0)], empty.schema)
+    rows = spark.createDataFrame([(1, 1000, 400, 2.0, 7.0, True, False, "a", '{"x": 5}', 1.0), (2, 1000, 900, 4.0, 8.0, False, True, "", "bad", 2.0)], empty.schema)
     s = reports.summary(rows).first()
     assert (s["saved_tokens"], s["saved_bp"], s["avg_latency_ms"], s["offloads"]) == (700, 3500, 3.0, 1)
     assert [tuple(r) for r in reports.by_algorithm(rows).collect()] == [("x", 5)] and reports.by_component(rows).count() == 1
@@ -144,3 +148,87 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     q = hourly(stream).writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, hourly(batch).collect()))
+
+
+def payload(spark, turns, budget_tokens, tools=("zeta", "alpha"), model="claude-x"):
+    defs = [(n, json.dumps({"name": n})) for n in tools]
+    return spark.createDataFrame([(1, model, defs, budget_tokens)], "request_id long, model string, tools array<struct<name:string,definition:string>>, budget_tokens long"), chat(spark, turns)
+
+
+def test_requests_follow_their_budget(spark):
+    turns = [LONG * 6, LONG * 6, "In order to proceed, certainly!", "a", "é", " ".join(f"item {i} of that list" for i in range(700))]
+    said = [{"role": "user" if i % 2 == 0 else "assistant", "content": x} for i, x in enumerate(turns)]
+    raw = len(json.dumps({"model": "claude-x", "messages": said, "tools": [{"name": "zeta"}, {"name": "alpha"}]})) // 4
+    got = {}
+    for b in (None, raw + 5, int(raw * 0.9), 10):
+        _, done = requests.reduce_requests(*payload(spark, turns, b))
+        got[b] = done.first()
+    assert all(r["raw_tokens"] == raw for r in got.values())
+    assert [r["tier"] for r in got.values()] == [-1, 1, 1, 5]
+    # tier 1 has near copies alone; without a budget all stages run, and the strongest tier stores the long text
+    assert got[raw + 5]["near_dup"] > 0 == got[raw + 5]["prose"] and got[None]["prose"] > 0 and got[10]["offload"] > 0
+    assert [x["name"] for x in got[10]["tools"]] == ["alpha", "zeta", requests.TOOL]
+    assert got[None]["hint_idx"] == 2 and got[10]["saved_tokens"] == raw - got[10]["compressed_tokens"] > 0
+    messages, done = requests.reduce_requests(*payload(spark, turns, 10))
+    rows = sorted(messages.collect(), key=lambda r: r["msg_idx"])
+    new = [{"role": r["role"], "content": [{"type": "text", "text": r["content"], "cache_control": {"type": "ephemeral"}}] if r["cache_hint"] else r["content"]} for r in rows]
+    defs = [json.loads(x["definition"]) for x in done.first()["tools"]]
+    assert done.first()["compressed_tokens"] == len(json.dumps({"model": "claude-x", "messages": new, "tools": defs})) // 4
+    asked, none = payload(spark, turns, 10)
+    bare = requests.reduce_requests(asked, none.limit(0))[1].first()
+    assert bare["n_messages"] == 0 and [x["name"] for x in bare["tools"]] == ["alpha", "zeta"] and bare["hint_idx"] is None
+
+
+def test_tool_calls_and_headers(spark):
+    block = "array<struct<type:string,id:string,name:string,hash:string,tool_use_id:string,content:string>>"
+    said = ("text", None, None, None, None, "hi")
+    rows = spark.createDataFrame([(1, [("tool_use", "a", "get", "h1", None, None), said, ("tool_use", "b", "get", "h2", None, None)]), (2, [said]), (3, None)], f"response_id long, content {block}")
+    entries = spark.createDataFrame([("h1", "whole text")], "hash string, content string")
+    got = {r["response_id"]: r["content"] for r in store.answer_tool_calls(rows, entries, "get").collect()}
+    assert [(x["tool_use_id"], x["content"]) for x in got[1][3:]] == [("a", "whole text"), ("b", "[CCR ERROR] No entry found for hash 'h2'.")] and len(got[2]) == 1 and got[3] is None
+    df = spark.sql("select map('Host', 'h', 'X-Meta-Run', 'r', 'accept', 'a') as h, map('Content-Encoding', 'gzip', 'x-cache', 'HIT') as b")
+    r = df.select(store.forward_headers(F.col("h"), "X-Meta-").alias("f"), store.return_headers(F.col("b"), "x-meta-", F.lit(12), F.lit(3.5), F.lit("c"), F.lit(-1)).alias("r"), store.cache_hit(F.col("b")).alias("c")).first()
+    assert r["f"] == {"accept": "a", "content-type": "application/json"} and r["c"]
+    assert r["r"] == {"x-cache": "HIT", "x-meta-tokens-saved": "12", "x-meta-compression-pct": "3.5", "x-meta-component": "c"}
+
+
+def test_storage(spark, tmp_path):
+    s = Storage(spark, f"file://{tmp_path}/store")
+    assert s.entries().count() == 0 and s.latest_versions().count() == 0
+    for seq, label in ((1, "a"), (2, "b")):
+        s.append("entries", spark.createDataFrame([("h", "text", label, 4, seq)], "hash string, content string, label string, size_bytes long, seq long"))
+    s.append("metrics", spark.createDataFrame([("r", 10, 4)], "request_id string, raw_tokens long, compressed_tokens long"))
+    s.append("mask_log", spark.createDataFrame([("email", 2), ("email", 3), ("ssn", 9)], "pattern string, count long"))
+    assert [(r["hash"], r["label"]) for r in s.entries().collect()] == [("h", "b")]
+    assert [tuple(r) for r in reports.mask_totals(s.read("mask_log")).collect()] == [("ssn", 9), ("email", 5)]
+    assert reports.status(s.read("metrics"), s.entries()).first().asDict() == {"requests": 1, "raw_tokens": 10, "saved_tokens": 6, "saved_bp": 6000, "entries": 1}
+    for seq, code in ((1, "def a():\n    b()\n"), (2, "def c():\n    d()\n")):
+        files = spark.createDataFrame([("m.py", code)], "path string, code string")
+        assert s.index_files(["m.py"], *callgraph.index_files(files), seq) == 1
+    assert [r["symbol"] for r in s.symbols().collect()] == ["c"] and [r["callee_symbol"] for r in s.calls().collect()] == ["d"]
+    write_report(reports.status(s.read("metrics"), s.entries()), f"file://{tmp_path}/report", algorithms=spark.createDataFrame([("x", 5)], "algorithm string, saved long"))
+    assert json.loads("\n".join(r["value"] for r in spark.read.text(f"file://{tmp_path}/report").collect()))["algorithms"] == [{"algorithm": "x", "saved": 5}]
+    s.flush()
+    assert s.entries().count() == 0 and s.read("metrics").count() == 0 and s.read("mask_log").count() == 3
+
+
+def test_recorded_requests_come_back(spark, tmp_path):
+    body = json.dumps({"model": "m", "messages": [{"role": "user", "content": 'say "hi"\n'}]}, indent=1)
+    rows = spark.createDataFrame([('/v1 "x"', 1.5, body), ("/v1", 2.0, "no json")], "path string, ts double, payload string")
+    jsonl.record_requests(rows, str(tmp_path / "log"))
+    line = json.loads(spark.read.text(str(tmp_path / "log")).first()["value"])
+    assert line == {"path": '/v1 "x"', "ts": 1.5, "payload": json.loads(body)}
+    got = jsonl.read_requests(spark, str(tmp_path / "log")).first()
+    assert got["model"] == "m" and got["messages"][0]["content"] == 'say "hi"\n'
+
+
+def test_long_dotted_lines(spark):
+    """A line of 100,000 dotted parts is read without a stack frame for each."""
+    rows = [("a." * 100_000 + "SomeError: x\nend",), ("x..Error\n.Error\nok.ValueError: y",), ("no such line",), ("a.Error..b",)]
+    got = [r["x"] for r in spark.createDataFrame(rows, "t string").select(shell.root_exception(F.col("t")).alias("x")).collect()]
+    assert got[0].endswith("SomeError: x") and got[1:] == ["ok.ValueError: y", None, "a.Error..b"]
+
+
+def test_skeletons_of_nested_functions():
+    source = 'import os\n\nclass A:\n    """doc"""\n    def f(self, x) -> int:\n        # note\n        def g():\n            return 1\n\n        return g()\n    y = 1\n\nasync def h():\n\n    pass\nz = 2\ndef last(): return 3'
+    assert code.skeleton(source) == "import os\n\nclass A:\n    \n    def f(self, x) -> int:\n        ...\n    y = 1\n\nasync def h():\n    ...\nz = 2\ndef last():\n    ...\n"
