@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terseframe.llm import chosenpath
@@ -148,6 +149,72 @@ def test_pipeline_stages(spark, sf):
     assert got.select("doc_id").distinct().count() == got.count()
 
 
+def test_stages_by_brute_force(spark, tmp_path):
+    """Planted rows through the whole run: after each stage the ids, and where a stage changes them the texts, of a plain version."""
+    import corpus_pipeline as p
+
+    from terseframe.llm import mixing
+
+    rng = random.Random(77)
+    plain = [w + x for w in ("river", "stone", "lamp", "tree", "cloud", "paper", "glass", "bread") for x in "abcdefghij"]
+    say = lambda n: rng.choices(plain, k=n)
+    items = [say(25) for _ in range(6)]
+    rows, toxic = [], set()
+    for i in range(900):
+        w = say(rng.randint(30, 90))
+        if i % 5 == 0:
+            toxic.add(i)
+            for k in rng.sample(range(len(w)), 3):
+                w[k] = rng.choice(["blorfish", "snargle", "bl0rfish", "s n a r g l e"])
+        elif i % 5 == 1 and i > 100:
+            w = list(rows[rng.randrange(len(rows))][1].split(" "))  # a near or equal copy, of toxic ones too
+            if i % 2:
+                w[rng.randrange(len(w))] = "changed"
+        elif i % 45 == 2:
+            w[7:7] = items[i % 6]
+        elif i % 5 == 3:
+            w.insert(3, f"call 212-555-{1000 + i} or mail bob{i}@example.org")
+        rows.append((i, " ".join(w), "en", f"s{i % 4}"))
+    toxic = {i for i, t, *_ in rows if re.search("blorfish|snargle|bl0rfish|s n a r g l e", t)}
+    spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in p.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        out = f"{tmp_path}/{name}"
+        docs.write.parquet(out)
+        docs = spark.read.parquet(out)
+        kept[name] = docs.collect()
+    ids = {name: {r["doc_id"] for r in x} for name, x in kept.items()}
+    text = {r[0]: r[1] for r in rows}
+    assert len(ids["toxicity"] & toxic) <= 0.02 * len(toxic) and len(ids["toxicity"] - toxic) >= 0.99 * (900 - len(toxic))
+    assert ids["ngram_jaccard_join"] == {c for _, c, _ in brute([(r["doc_id"], r["text"]) for r in kept["toxicity"]])}
+    goals = [shingle_set(" ".join(x)) for x in items]
+    weigh = lambda xs: sum(np.log1p(6 / max(1, sum(x in g for g in goals))) for x in xs)
+
+    def leaks(t):
+        w = t.split()
+        return any(2 * weigh(own & g) >= 0.8 * (weigh(own) + weigh(g)) for g in goals for s in range(max(1, len(w) - 24)) for own in [shingle_set(" ".join(w[s : s + 25]))] if own & g)
+
+    assert ids["decontamination"] == {i for i in ids["ngram_jaccard_join"] if not leaks(text[i])} < ids["ngram_jaccard_join"]
+    assert ids["pii"] == ids["decontamination"]
+    for r in kept["pii"]:
+        found = re.search(r"call (\d{3}-\d{3}-\d{4}) or mail ([a-z]+\d+)@example.org", text[r["doc_id"]])
+        if found:
+            a, b = re.search(r"call (\d{3}-\d{3}-\d{4}) or mail ([a-z]+\d+)@example.org", r["text"]).groups()
+            assert a != found[1] and b != found[2] and re.sub(re.escape(a) + "|" + re.escape(b), "", r["text"]) == re.sub(re.escape(found[1]) + "|" + re.escape(found[2]), "", text[r["doc_id"]])
+        else:
+            assert r["text"] == text[r["doc_id"]]
+    size = {r["doc_id"]: len(r["text"].split()) for r in kept["pii"]}
+    source = {r["doc_id"]: r["source"] for r in kept["pii"]}
+    total, weight = sum(size.values()), dict(zip(sorted(set(source.values())), (1, 2, 3, 1), strict=False))
+    for s, k in weight.items():
+        own = [r for r in kept["mixing"] if r["source"] == s]
+        assert own[0]["target"] == pytest.approx(total * k / sum(weight.values())) and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 100
+        assert all(r["taken"] == r["copies"] * size[r["doc_id"]] and 1 <= r["copies"] <= mixing.MOST_COPIES for r in own)
+
+
 def test_edges_of_stages(spark, sf):
     import corpus_pipeline as p
 
