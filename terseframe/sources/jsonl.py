@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lazy import arrow
+
 BLOCK = "struct<type:string,text:string,content:string>"
 PAYLOAD = "struct<model:string,max_tokens:int,system:string,messages:array<struct<role:string,content:string>>,tools:array<string>>"
 
@@ -32,6 +37,47 @@ def messages_of(requests: DataFrame, request_id: str = "request_id") -> DataFram
     return rows.withColumn("content", F.when(F.col("raw").startswith("[") & blocks.isNotNull(), joined).otherwise(F.coalesce("raw", F.lit("")))).drop("raw")
 
 
+def block_texts(raw: Column) -> Column:
+    """What each kind of stage reads of a message's content, as a struct; of plain text all are that text.
+
+    ``engines``: text, else content, of all blocks, one a line. ``classify`` and ``plain``: text of all blocks, by spaces.
+    ``near_dup``: text of text blocks, one a line. ``keywords``: text, else content, of all blocks, by spaces.
+    """
+    blocks = F.filter(F.from_json(raw, "array<string>"), lambda b: b.startswith("{"))
+    listed = F.ltrim(raw).startswith("[") & F.from_json(raw, "array<string>").isNotNull()
+    field = lambda b, k: F.get_json_object(b, f"$.{k}")
+    either = lambda b: F.coalesce(field(b, "text"), field(b, "content"), F.lit(""))
+    own = lambda b: F.coalesce(field(b, "text"), F.lit(""))
+    of = {
+        "engines": F.array_join(F.transform(blocks, either), "\n"),
+        "classify": F.array_join(F.transform(blocks, own), " "),
+        "near_dup": F.array_join(F.transform(F.filter(blocks, lambda b: field(b, "type") == "text"), own), "\n"),
+        "keywords": F.array_join(F.transform(blocks, either), " "),
+        "plain": F.array_join(F.transform(blocks, own), " "),
+    }
+    return F.struct(*[F.when(listed, x).otherwise(F.coalesce(raw, F.lit(""))).alias(k) for k, x in of.items()])
+
+
+@arrow("string")
+def write_back(raw: pd.Series, text: pd.Series) -> pd.Series:
+    """A message's content with new text: plain text is replaced, of blocks the first text block takes it and the others stay."""
+
+    def one(old: str | None, new: str | None) -> str | None:
+        try:
+            blocks = json.loads(old) if old and new is not None and old.lstrip().startswith("[") else None
+        except ValueError:
+            blocks = None
+        if not isinstance(blocks, list):
+            return old if new is None else new
+        first = next((b for b in blocks if isinstance(b, dict) and b.get("type") == "text"), None)
+        if first is None:
+            return old
+        first["text"] = new
+        return json.dumps(blocks)
+
+    return pd.Series([one(a, b) for a, b in zip(raw, text, strict=True)], dtype=object)
+
+
 def record_requests(requests: DataFrame, path: str) -> None:
     """Append requests (path, ts, payload) to a log, one line {"path", "ts", "payload"} each; a payload is JSON text and stays as it is.
 

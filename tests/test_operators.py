@@ -232,3 +232,21 @@ def test_long_dotted_lines(spark):
 def test_skeletons_of_nested_functions():
     source = 'import os\n\nclass A:\n    """doc"""\n    def f(self, x) -> int:\n        # note\n        def g():\n            return 1\n\n        return g()\n    y = 1\n\nasync def h():\n\n    pass\nz = 2\ndef last(): return 3'
     assert code.skeleton(source) == "import os\n\nclass A:\n    \n    def f(self, x) -> int:\n        ...\n    y = 1\n\nasync def h():\n    ...\nz = 2\ndef last():\n    ...\n"
+
+
+def test_block_lists_are_read_by_each_stage_its_own_way(spark):
+    blocks = [{"type": "text", "text": "first"}, {"type": "tool_result", "content": "result", "id": 7}, {"type": "note", "text": "aside"}, "loose", {"type": "text", "text": "second"}]
+    rows = spark.createDataFrame([(1, json.dumps(blocks)), (2, "plain [1]"), (3, None), (4, "[1, 2"), (5, json.dumps([{"type": "image"}]))], "i int, raw string")
+    got = {r["i"]: r for r in rows.select("i", jsonl.block_texts(F.col("raw")).alias("t"), jsonl.write_back("raw", F.lit("new")).alias("w")).collect()}
+    assert got[1]["t"].asDict() == {"engines": "first\nresult\naside\nsecond", "classify": "first  aside second", "near_dup": "first\nsecond", "keywords": "first result aside second", "plain": "first  aside second"}
+    assert set(got[2]["t"]) == {"plain [1]"} and set(got[3]["t"]) == {""} and set(got[4]["t"]) == {"[1, 2"}
+    assert json.loads(got[1]["w"]) == [{"type": "text", "text": "new"}, *blocks[1:]] and got[2]["w"] == "new" and got[4]["w"] == "new"
+    assert json.loads(got[5]["w"]) == [{"type": "image"}]
+
+
+def test_project_walk(spark, tmp_path):
+    for name in ("a.py", "sub/b.pyi", "c.txt", ".git/d.py", "sub/node_modules/e.py", "dist/f.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    got = {r["path"].split(str(tmp_path))[1]: r["code"] for r in jsonl.read_code(spark, str(tmp_path)).collect()}
+    assert got == {"/a.py": "# a.py\n", "/sub/b.pyi": "# sub/b.pyi\n"}
