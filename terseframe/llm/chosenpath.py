@@ -99,12 +99,16 @@ def children(path: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def first_paths(token: np.ndarray, lo: int, hi: int, splits: int = SPLITS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, path) of all rows after ``splits`` splits of the runs ``lo`` to ``hi``, by rows."""
-    start = mix(np.arange(lo + 1, hi + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
-    row, path = np.tile(np.arange(len(token)), len(start)), np.repeat(start, len(token))
-    for _ in range(splits):
-        of, path = children(path, token[row])
-        row = row[of]
+    """(row, path) of all rows after ``splits`` splits of the runs ``lo`` to ``hi``, by rows; one run is held at a time."""
+    rows, paths = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for start in mix(np.arange(lo + 1, hi + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F)):
+        row, path = np.arange(len(token)), np.full(len(token), start)
+        for _ in range(splits):
+            of, path = children(path, token[row])
+            row = row[of]
+        rows.append(row)
+        paths.append(path)
+    row, path = np.concatenate(rows), np.concatenate(paths)
     order = np.argsort(row, kind="stable")
     return row[order], path[order]
 
@@ -249,7 +253,7 @@ def _sketch_column(n_runs: int):
     """Number of shingles, sketch and paths of all runs of rows (doc_id, key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, most=1 << 20):
             raw, off = column_bytes(part.column(2))
             starts, ends = words(raw, off)
             hashes, at = shingles(span_hashes(raw, starts, ends), row_counts(starts, off), WIDTH)
