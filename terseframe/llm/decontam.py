@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, materialise, read_bytes, text_slices, write_bytes
+from .common import fresh_dir, materialise, read_bytes, scratch, text_slices, write_bytes
 from .textvec import column_bytes, mix, row_counts, shingles, span_hashes, words
 
 WIDTH = 5
@@ -194,7 +194,13 @@ def _to_file(table: pa.Table, path: str) -> None:
 
 def build_index(benchmark: DataFrame, block: int = BLOCK) -> Benchmark:
     """Index (item_id, text) in files of the shared folder."""
+    with scratch(benchmark.sparkSession) as stay:
+        return _build(benchmark, block, stay)
+
+
+def _build(benchmark: DataFrame, block: int, stay: list[str]) -> Benchmark:
     folder = fresh_dir(benchmark.sparkSession, "decontam")
+    stay.append(folder)
     kind = benchmark.schema["item_id"].dataType.simpleString()
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
 

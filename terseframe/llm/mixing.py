@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_broadcast, materialise
+from .common import WORD, bounded_broadcast, materialise, scratch
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -102,6 +102,11 @@ def _same(a: list, b: list) -> Column:
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with size, source_size, target and taken words added."""
+    with scratch(docs.sparkSession) as stay:
+        return _mix(docs, weights, most, stay)
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], most: int, stay: list[str]) -> DataFrame:
     names = ("size", "source_size", "target", "taken")
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
     # the table's own columns travel in one struct, so no name of theirs can clash with those made here
@@ -146,7 +151,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     )
     ended = last.select("end_source", "end", fill["taken"].alias("filled"))
     # a source without such a bucket takes its every document (its rest is all its words) or has no words
-    plan = materialise(shares.join(ended, F.col("_source").eqNullSafe(F.col("end_source")), "left").drop("end_source"), "mix-plan")
+    plan = materialise(shares.join(ended, F.col("_source").eqNullSafe(F.col("end_source")), "left").drop("end_source"), "mix-plan", stay)
     more = (F.col("rest") > 0) & (F.col("whole") < most) & (F.col("end").isNull() | (F.col("bucket") < F.col("end")) | ((F.col("bucket") == F.col("end")) & F.array_contains("filled", F.col("u"))))
     result = [
         F.col("row.*"), "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
@@ -159,12 +164,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     # partition first, so no task orders all of a large group
     drawn = ranked(several.withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("same")))), plan, F.col("number"))
     more_of = drawn.groupBy(*group).agg(F.count_if(more).alias("more_of"))
-    more_of = materialise(more_of.select(*[F.col(c).alias(f"g_{c}") for c in group], "more_of"), "mix-several")
+    more_of = materialise(more_of.select(*[F.col(c).alias(f"g_{c}") for c in group], "more_of"), "mix-several", stay)
     in_group = _same([F.col(c) for c in group], [F.col(f"g_{c}") for c in group])
     hinted = bounded_broadcast(more_of, BROADCAST_SOURCES)
     apart = base.withColumn("part", F.spark_partition_id()).join(hinted, in_group).drop(*[f"g_{c}" for c in group])
     keyed = Window.partitionBy(*group, "part").orderBy("hash")
-    apart = materialise(apart.withColumn("at", F.row_number().over(keyed)), "mix-repeated")
+    apart = materialise(apart.withColumn("at", F.row_number().over(keyed)), "mix-repeated", stay)
     sums = apart.groupBy(*group, "part").agg(F.count("*").alias("many"))
     sums = sums.withColumn("before", F.sum("many").over(Window.partitionBy(*group).orderBy("part")) - F.col("many"))
     sums = sums.select(*[F.col(c).alias(f"g_{c}") for c in group], F.col("part").alias("g_part"), "before")

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -215,6 +216,20 @@ def test_stages_by_brute_force(spark, tmp_path):
         assert all(r["taken"] == r["copies"] * size[r["doc_id"]] and 1 <= r["copies"] <= mixing.MOST_COPIES for r in own)
 
 
+def test_scratch_keeps_what_is_named(spark):
+    from terseframe.llm import common
+
+    with common.scratch(spark) as outer:
+        with common.scratch(spark) as stay:
+            a, b = common.materialise(spark.range(3), "a", stay), common.materialise(spark.range(4), "b")
+            gone = b.inputFiles()[0]
+        assert a.count() == 3 and not Path(re.sub("^file:/+", "/", gone)).exists()
+        kept = common.materialise(spark.range(5), "c", outer)
+        inner = a.inputFiles()[0]
+    assert kept.count() == 5 and not Path(re.sub("^file:/+", "/", inner)).exists()
+    common.drop_table(kept)
+
+
 def test_edges_of_stages(spark, sf):
     import corpus_pipeline as p
 
