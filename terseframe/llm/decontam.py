@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, materialise, read_bytes, scratch, text_slices, write_bytes
+from .common import SLICE, fresh_dir, materialise, read_bytes, scratch, text_slices, write_bytes
 from .textvec import column_bytes, mix, row_counts, shingles, span_hashes, words
 
 WIDTH = 5
@@ -257,7 +257,7 @@ def _leaks_of(col: pa.Array, bench: Benchmark) -> Iterator[tuple[int, object, tu
 
 
 def _slices(batches: Iterator[pa.RecordBatch], bench: Benchmark) -> Iterator[pa.RecordBatch]:
-    return text_slices(batches, most=TURN if len(bench.paths) > 1 else 2 << 20)
+    return text_slices(batches, most=TURN if len(bench.paths) > 1 else SLICE)
 
 
 def find_leaks(docs: DataFrame, bench: Benchmark) -> DataFrame:

@@ -332,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int32)]  # feature and label, ascending, and rows that have it
+        held = [np.zeros(0, np.int32), np.zeros(0, np.int32)]  # feature and label, ascending, and rows that have it
 
         def add(parts: list[np.ndarray]) -> list[np.ndarray]:
             keys = np.concatenate([held[0], *parts])
@@ -349,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             at = np.flatnonzero(ok)
             rows = np.searchsorted(off, np.concatenate([starts, at]), side="right") - 1
             pair = np.unique(rows * (2 << BITS) + np.concatenate([whole, pieces[at]]))
-            new.append((pair & ((2 << BITS) - 1)) * 2 + y[pair >> (BITS + 1)])
+            new.append(((pair & ((2 << BITS) - 1)) * 2 + y[pair >> (BITS + 1)]).astype(np.int32))
             if sum(map(len, new)) > max(1 << 20, len(held[0])):
                 held, new = add(new), []
         held = add(new)
@@ -357,7 +357,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for s in range(SHARDS):
             keys, n = held[0][cut[s] : cut[s + 1]], held[1][cut[s] : cut[s + 1]]
             if len(keys):
-                blob = np.concatenate([keys.astype(np.int32), n])
+                blob = np.concatenate([keys, n])
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pa.compress(blob, "zstd", asbytes=True)], pa.binary()), pa.array([blob.nbytes], pa.int64())], names=["shard", "counts", "size"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
