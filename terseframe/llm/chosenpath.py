@@ -416,16 +416,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one document of each class: the one with the smallest id, once.
 
     Filters of bounded size tell most rows that are alone in their class, and most that are not the one to stay; a join
-    decides on the others.
+    decides on the others. Rows alone that the first filter takes for members of a class are in that join as well, so a
+    full filter costs a larger join and no row.
     """
     texts = similarity_classes(docs)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     key, plural, chosen, kept_key, kept_rep = (unused(c, docs) for c in ("key_", "plural_", "chosen_", "kept_key_", "kept_rep_"))
-    # two texts of one id can both be the smallest of their class; the smaller digest stays
-    first = texts.where((F.col("members") > 1) & F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min(F.struct("key", "rep")).alias("kept"))
-    kept = first.select(F.col("kept.key").alias(kept_key), F.col("kept.rep").alias(kept_rep))
     several = texts.where("members > 1").select(F.xxhash64("key").alias("key"))
     in_class = key_filter(several, several.count())
+    # two texts of one id can both be the smallest of their class; the smaller digest stays
+    first = texts.where((F.col("members") > 1) & F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min(F.struct("key", "rep")).alias("kept")).select("kept.key", "kept.rep")
+    mistaken = texts.where("members = 1").where(in_class(F.xxhash64("key"))).select("key", "rep")
+    kept = materialise(first.unionByName(mistaken).select(F.col("key").alias(kept_key), F.col("rep").alias(kept_rep)), "cp-kept")
     is_kept = key_filter(kept.select(F.xxhash64(kept_key, kept_rep).alias("key")), kept.count())
     keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     flagged = keyed.withColumn(plural, in_class(F.xxhash64(key))).withColumn(chosen, is_kept(F.xxhash64(key, "doc_id")))

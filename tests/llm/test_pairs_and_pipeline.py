@@ -87,6 +87,22 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     assert sorted((tuple(r) for r in chosenpath.join_documents(docs).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 14])
+def test_full_filters_lose_no_document(spark, monkeypatch, bits):
+    """Filters far too small for their keys take documents that are alone in their class for members of one."""
+    from terseframe.llm import common
+
+    monkeypatch.setattr(common, "FILTER_BITS", (bits, bits))
+    rng = random.Random(23)
+    text = lambda: " ".join(f"u{rng.randrange(10**9)}" for _ in range(30))
+    pairs = [(d, t + end) for t in [text() for _ in range(2_000)] for d, end in ((rng.randrange(10**9), ""), (rng.randrange(10**9), " end"))]
+    alone = [(rng.randrange(10**9), text()) for _ in range(3_000)] + [(None, text())]
+    docs = spark.createDataFrame(pairs + alone + alone[:1], "doc_id long, text string")
+    got = chosenpath.keep_one(docs).collect()
+    want = [min(pairs[i : i + 2]) for i in range(0, len(pairs), 2)] + alone[1:]
+    assert sorted(map(tuple, got), key=str) == sorted([*want, alone[0]], key=str)
+
+
 def test_intersections():
     rng = np.random.default_rng(2)
     for n, spread in ((3, 50), (40, 60), (60, 4000)):
